@@ -169,7 +169,7 @@ def scalar_of(values: Column | str) -> Column:
     survive the text round trip and become null.
     """
     v = _c(values)
-    return F.when(F.size(v) == 1, F.element_at(v, 1))
+    return F.when(F.size(v) == 1, F.try_element_at(v, F.lit(1)))
 
 
 def n_values(values: Column | str) -> Column:

@@ -119,7 +119,7 @@ def render_number(values: Column | str) -> Column:
     """Numbers inside rendered sentences, by one fixed rule: ``%.6f`` for a
     single value, ``[a, b]`` of those for a list, 'Not specified' for none."""
     v = F.col(values) if isinstance(values, str) else values
-    one = F.format_string("%.6f", F.element_at(v, 1))
+    one = F.format_string("%.6f", F.try_element_at(v, F.lit(1)))
     many = F.concat(F.lit("["), F.array_join(F.transform(v, lambda x: F.format_string("%.6f", x)), ", "), F.lit("]"))
     return F.when(v.isNull(), F.lit(K.NOT_SPECIFIED)).when(F.size(v) == 1, one).otherwise(many)
 

@@ -38,8 +38,8 @@ def r6(c: Column | str, d: int = 6) -> Column:
 def _arr_summary(arr: Column, prefix: str) -> list[Column]:
     return [
         U.n_values(arr).alias(f"{prefix}_n"),
-        r6(F.element_at(arr, 1)).alias(f"{prefix}_first"),
-        r6(F.element_at(arr, -1)).alias(f"{prefix}_last"),
+        r6(F.try_element_at(arr, F.lit(1))).alias(f"{prefix}_first"),
+        r6(F.try_element_at(arr, F.lit(-1))).alias(f"{prefix}_last"),
     ]
 
 
@@ -277,3 +277,136 @@ def q_box_quartiles(spark, sf_dir):
 def q_outlier_fence(spark, sf_dir):
     o = S.outlier_fence(family_frame(spark, sf_dir))
     return o.select("family", "metric", "paper_id", r6("value").alias("value"))
+
+
+# --- A/B: sources and text structuring -------------------------------------------
+
+from ..functions.text import clean_text as _clean_text  # noqa: E402
+from ..functions.text import strip_suffixes  # noqa: E402
+from ..operators import extract as X  # noqa: E402
+from ..operators import structure as B  # noqa: E402
+
+
+@query("paper_id_from_path")
+def q_paper_id_from_path(spark, sf_dir):
+    pages = read_table(spark, sf_dir, "pages")
+    name = F.regexp_extract("url", r"[^/]+$", 0)
+    pid = strip_suffixes(strip_suffixes(name, K.PAPER_FILE_SUFFIXES), [K.EXTRACTION_FILE_SUFFIX])
+    return pages.select("page_id", pid.alias("paper_id"))
+
+
+@query("incremental_anti_join")
+def q_incremental_anti_join(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents").select("doc_id")
+    done = read_table(spark, sf_dir, "labels").select("doc_id")
+    return docs.join(done, on="doc_id", how="left_anti")
+
+
+@query("json_ingest")
+def q_json_ingest(spark, sf_dir):
+    ev = read_table(spark, sf_dir, "events").select("event_id", "props")
+    return X.json_ingest(ev, "props", schema="k STRING")
+
+
+@query("clean_text")
+def q_clean_text(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents")
+    return docs.select("doc_id", _clean_text("text").alias("text_clean"))
+
+
+@query("keyword_filter")
+def q_keyword_filter(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents")
+    return docs.filter(B.is_relevant(F.col("text"))).select("doc_id")
+
+
+@query("page_title")
+def q_page_title(spark, sf_dir):
+    pages = read_table(spark, sf_dir, "pages")
+    return pages.select("page_id", B.page_title("html").alias("title"))
+
+
+@query("page_abstract")
+def q_page_abstract(spark, sf_dir):
+    pages = read_table(spark, sf_dir, "pages")
+    return pages.select("page_id", B.page_abstract("html").alias("abstract"))
+
+
+@query("section_split")
+def q_section_split(spark, sf_dir):
+    pages = read_table(spark, sf_dir, "pages")
+    s = pages.select("page_id", F.posexplode(B.page_sections("html")).alias("section_idx", "s"))
+    return s.select("page_id", "section_idx", F.col("s.heading").alias("heading"),
+                    F.size("s.paragraphs").alias("n_paragraphs"))
+
+
+@query("relevant_paragraphs")
+def q_relevant_paragraphs(spark, sf_dir):
+    return B.relevant_paragraphs(read_table(spark, sf_dir, "documents"))
+
+
+@query("section_assemble")
+def q_section_assemble(spark, sf_dir):
+    return B.section_assemble(read_table(spark, sf_dir, "documents"))
+
+
+@query("list_cells")
+def q_list_cells(spark, sf_dir):
+    return B.list_cells(read_table(spark, sf_dir, "pages"))
+
+
+@query("parse_report")
+def q_parse_report(spark, sf_dir):
+    return B.parse_report(read_table(spark, sf_dir, "pages"))
+
+
+def structured_docs(spark, sf_dir) -> DataFrame:
+    return B.structured_documents(read_table(spark, sf_dir, "documents"))
+
+
+@query("combined_text")
+def q_combined_text(spark, sf_dir):
+    p = structured_docs(spark, sf_dir)
+    return p.select("paper_id", X.combined_text(p).alias("combined_text"))
+
+
+def gated_docs(spark, sf_dir) -> DataFrame:
+    p = structured_docs(spark, sf_dir)
+    return p.select("paper_id", X.combined_text(p).alias("combined_text")).filter(X.length_gate("combined_text"))
+
+
+@query("length_gate")
+def q_length_gate(spark, sf_dir):
+    return gated_docs(spark, sf_dir).select("paper_id")
+
+
+@query("request_text")
+def q_request_text(spark, sf_dir):
+    return gated_docs(spark, sf_dir).select("paper_id", X.request_text("combined_text").alias("request"))
+
+
+def fenced_responses(spark, sf_dir) -> DataFrame:
+    """Stored model replies: assistant turns wrapped in the fence styles a
+    reply can have (json fence, bare fence, none, json fence left open)."""
+    conv = read_table(spark, sf_dir, "conversations").filter(F.col("role") == "assistant")
+    style = F.pmod(F.col("conv_id") + F.col("turn"), F.lit(4))
+    resp = (
+        F.when(style == 0, F.concat(F.lit("```json\n"), "text", F.lit("\n```")))
+        .when(style == 1, F.concat(F.lit("```\n"), "text", F.lit("\n```")))
+        .when(style == 2, F.col("text"))
+        .otherwise(F.concat(F.lit("```json\n"), "text"))
+    )
+    return conv.select("conv_id", "turn", resp.alias("response"))
+
+
+@query("fence_strip")
+def q_fence_strip(spark, sf_dir):
+    r = fenced_responses(spark, sf_dir)
+    return r.select("conv_id", "turn", X.fence_strip("response").alias("cleaned"))
+
+
+@query("rule_extract")
+def q_rule_extract(spark, sf_dir):
+    p = structured_docs(spark, sf_dir)
+    return X.rule_extract(p.select("paper_id", X.combined_text(p).alias("combined_text"))).drop(
+        "material", "substrate", "deposition_method", "target", "base_pressure")

@@ -406,3 +406,135 @@ reg("outlier_fence", f"""
 SELECT l.family, l.metric, l.paper_id, round(l.value, 6) AS value
 FROM fam_long l JOIN ({QUART}) q ON l.family = q.family AND l.metric = q.metric
 WHERE l.value >= q.q1 - 1.5 * (q.q3 - q.q1) AND l.value <= q.q3 + 1.5 * (q.q3 - q.q1)""")
+
+
+# --- A / B ------------------------------------------------------------------
+CITE = K.CITATION_PATTERN
+
+
+def clean_text(x: str) -> str:
+    return f"trim(regexp_replace(regexp_replace({x}, {lit(CITE)}, '', 'g'), {lit(WS + '+')}, ' ', 'g'), ' ')"
+
+
+def strip_tags(x: str) -> str:
+    out = f"regexp_replace({x}, '<[^>]*>', '', 'g')"
+    for ent, ch in [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")]:
+        out = f"replace({out}, {lit(ent)}, {lit(ch)})"
+    return out
+
+
+def relevant(x: str) -> str:
+    return contains_any(x, K.PARAGRAPH_KEYWORDS)
+
+
+def para_texts(fragment: str) -> str:
+    pieces = f"regexp_split_to_array({fragment}, '<p(?:\\s[^>]*)?>')[2:]"
+    cut = "regexp_replace(s, '(?s)</p>.*$', '')"
+    return f"list_transform({pieces}, lambda s: {clean_text(strip_tags(cut))})"
+
+
+def section_text(t: str) -> str:
+    kept = f"list_filter(list_transform(string_split({t}, chr(10)), lambda p: {clean_text('p')}), lambda p: {relevant('p')})"
+    return f"(CASE WHEN len({kept}) > 0 THEN array_to_string({kept}, ' ') END)"
+
+
+def strip_suffixes(x: str, suffixes: list[str]) -> str:
+    for s in suffixes:
+        x = f"replace({x}, {lit(s)}, '')"
+    return x
+
+
+reg("paper_id_from_path", f"""
+SELECT page_id, {strip_suffixes(strip_suffixes("regexp_extract(url, '[^/]+$', 0)", K.PAPER_FILE_SUFFIXES), [K.EXTRACTION_FILE_SUFFIX])} AS paper_id
+FROM pages""", base=False)
+
+reg("incremental_anti_join", """
+SELECT d.doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)""", base=False)
+
+reg("json_ingest", """
+SELECT event_id, props->>'k' AS k FROM events
+WHERE json_valid(props) AND json_type(props::JSON) = 'OBJECT'""", base=False)
+
+reg("clean_text", f"SELECT doc_id, {clean_text('text')} AS text_clean FROM documents", base=False)
+reg("keyword_filter", f"SELECT doc_id FROM documents WHERE {relevant('text')}", base=False)
+reg("page_title", f"""
+SELECT page_id, {clean_text(strip_tags("regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1)"))} AS title FROM pages""",
+    base=False)
+
+ARTICLE = "regexp_extract(html, '(?s)<article[^>]*>(.*?)</article>', 1)"
+reg("page_abstract", f"SELECT page_id, coalesce({para_texts(ARTICLE)}[1], '') AS abstract FROM pages", base=False)
+
+BODY = "regexp_extract(html, '(?s)<body[^>]*>(.*)</body>', 1)"
+HEAD = "regexp_extract(b, '(?s)<h[1-6][^>]*>(.*?)</h[1-6]>', 1)"
+reg("section_split", f"""
+SELECT page_id, CAST(idx - 1 AS INTEGER) AS section_idx,
+       CASE WHEN {HEAD} = '' THEN {lit(K.UNKNOWN_SECTION)} ELSE {clean_text(strip_tags(HEAD))} END AS heading,
+       CAST(len({para_texts('b')}) AS INTEGER) AS n_paragraphs
+FROM (SELECT page_id, unnest(bl) AS b, unnest(range(1, len(bl) + 1)) AS idx
+      FROM (SELECT page_id, regexp_extract_all({BODY}, '(?s)(<(?:div|article)[^>]*>.*?</(?:div|article)>)', 1) AS bl FROM pages))""",
+    base=False)
+
+reg("relevant_paragraphs", f"""
+SELECT doc_id, pos, paragraph FROM (
+  SELECT doc_id, pos, {clean_text('raw')} AS paragraph FROM (
+    SELECT doc_id, CAST(unnest(range(len(l))) AS INTEGER) AS pos, unnest(l) AS raw
+    FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)))
+WHERE {relevant('paragraph')}""", base=False)
+
+reg("section_assemble", f"""
+SELECT doc_id, source AS heading, {section_text('text')} AS text FROM documents WHERE {section_text('text')} IS NOT NULL""",
+    base=False)
+
+reg("list_cells", f"""
+SELECT page_id, table_idx, CAST(r AS INTEGER) AS row_idx, 1 AS cell_idx, {clean_text(strip_tags('li'))} AS cell FROM (
+  SELECT page_id, table_idx, unnest(lis) AS li, unnest(range(1, len(lis) + 1)) AS r FROM (
+    SELECT page_id, CAST(t AS INTEGER) AS table_idx, regexp_extract_all(ul, '(?s)<li[^>]*>(.*?)</li>', 1) AS lis FROM (
+      SELECT page_id, unnest(uls) AS ul, unnest(range(1, len(uls) + 1)) AS t
+      FROM (SELECT page_id, regexp_extract_all(html, '(?s)<ul[^>]*>(.*?)</ul>', 1) AS uls FROM pages))))""", base=False)
+
+OKP = "coalesce(regexp_matches(html, '(?s)<body[^>]*>.*</body>'), false)"
+reg("parse_report", f"""
+SELECT CAST(count(*) AS BIGINT) AS total, CAST(count(*) FILTER (WHERE {OKP}) AS BIGINT) AS succeeded,
+       CAST(count(*) FILTER (WHERE NOT {OKP}) AS BIGINT) AS failed FROM pages""", base=False)
+
+COMBINED = f"""
+combined AS (SELECT CAST(doc_id AS VARCHAR) AS paper_id,
+  '' || chr(10) || chr(10) || coalesce({section_text('text')} || chr(10), '') AS combined_text FROM documents),
+gated AS (SELECT * FROM combined WHERE length({py_strip('combined_text')}) > 50)
+"""
+reg("combined_text", f"WITH {COMBINED} SELECT paper_id, combined_text FROM combined", base=False)
+reg("length_gate", f"WITH {COMBINED} SELECT paper_id FROM gated", base=False)
+_pre, _post = K.EXTRACTION_REQUEST_TEMPLATE.split("{text}")
+reg("request_text", f"WITH {COMBINED} SELECT paper_id, {lit(_pre)} || combined_text || {lit(_post)} AS request FROM gated",
+    base=False)
+
+FENCED = """
+fenced AS (SELECT conv_id, turn, CASE ((conv_id + turn) % 4)
+    WHEN 0 THEN '```json' || chr(10) || text || chr(10) || '```'
+    WHEN 1 THEN '```' || chr(10) || text || chr(10) || '```'
+    WHEN 2 THEN text
+    ELSE '```json' || chr(10) || text END AS response
+  FROM conversations WHERE role = 'assistant')
+"""
+_S = py_strip("response")
+_body = (f"CASE WHEN starts_with({_S}, '```json') THEN substring({_S}, 8, length({_S}) - 10) "
+         f"WHEN starts_with({_S}, '```') THEN substring({_S}, 4, length({_S}) - 6) ELSE {_S} END")
+reg("fence_strip", f"WITH {FENCED} SELECT conv_id, turn, nullif({py_strip(_body)}, '') AS cleaned FROM fenced", base=False)
+
+END = r"(?:[^\p{L}\p{N}_]|$)"
+RULES = {
+    "power": r"([0-9][0-9.]* ?(?:kw|mw|w))" + END,
+    "working_pressure": r"([0-9][0-9.]* ?(?:x ?10\^?-?[0-9]+ ?)?(?:mtorr|torr|mbar|pa))" + END,
+    "temperature": r"(-?[0-9][0-9.]* ?°? ?(?:c|k)|room temperature)" + END,
+    "film_thickness": r"([0-9][0-9.]* ?(?:nm|um|μm|mm))" + END,
+    "gas_mixture": r"(?:^|[^\p{L}\p{N}_])(argon|oxygen|nitrogen|hydrogen|ar|o2|n2|h2)" + END,
+}
+
+
+def rule_field(t: str, pattern: str) -> str:
+    hits = f"regexp_extract_all(lower({t}), {lit(pattern)}, 1)"
+    return f"(CASE WHEN len({hits}) > 0 THEN array_to_string({hits}, ', ') ELSE {NS} END)"
+
+
+reg("rule_extract", f"WITH {COMBINED} SELECT paper_id, "
+    + ", ".join(f"{rule_field('combined_text', p)} AS {n}" for n, p in RULES.items()) + " FROM combined", base=False)
