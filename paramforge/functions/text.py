@@ -9,6 +9,7 @@ read the same way.
 from __future__ import annotations
 
 from pyspark.sql import Column
+import pandas as pd
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -34,18 +35,97 @@ def clean_text(text: Column | str) -> Column:
     return F.trim(collapsed)
 
 
-def contains_any(text: Column | str, keywords: list[str], lower: bool = True) -> Column:
+_REGEX_META = set("\\.^$|?*+()[]{}")
+
+
+def regex_literal(s: str) -> str:
+    """A literal text as a pattern valid in Java regex and RE2."""
+    return "".join("\\" + ch if ch in _REGEX_META else ch for ch in s)
+
+
+# Keyword lists at least this long are matched with Aho-Corasick in an
+# Arrow-batched pandas UDF (one pass per text, Python's own lower());
+# shorter lists stay a JVM regex.
+MULTI_PATTERN_MIN = 16
+_AUTOMATA: dict[tuple, object] = {}
+
+
+def _automaton(keywords: tuple):
+    a = _AUTOMATA.get(keywords)
+    if a is None:
+        import ahocorasick
+
+        a = ahocorasick.Automaton()
+        for k in keywords:
+            a.add_word(k, k)
+        a.make_automaton()
+        _AUTOMATA[keywords] = a
+    return a
+
+
+def _has_multi_pattern() -> bool:
+    try:
+        import ahocorasick  # noqa: F401
+    except ImportError:
+        return False
+    return True
+
+
+def _hit(automaton, text) -> bool:
+    if text is None:
+        return False
+    for _ in automaton.iter(text.lower()):
+        return True
+    return False
+
+
+def keyword_mask(text: Column | str, keywords: list[str]) -> Column:
+    """Boolean: lower-cased text contains any keyword (Aho-Corasick, one
+    scan per text, vectorised over Arrow batches)."""
+    kws = tuple(k for k in keywords if k == k.lower())
+
+    @F.pandas_udf("boolean")
+    def _mask(s: pd.Series) -> pd.Series:
+        a = _automaton(kws)
+        return pd.Series([_hit(a, t) for t in s], dtype=bool)
+
+    return _mask(_c(text))
+
+
+def keep_relevant_joined(paragraphs: Column | str, keywords: list[str], sep: str = " ") -> Column:
+    """The paragraphs of an array that contain a keyword, joined by
+    ``sep``; null when none does."""
+    kws = tuple(k for k in keywords if k == k.lower())
+
+    @F.pandas_udf("string")
+    def _join(s: pd.Series) -> pd.Series:
+        a = _automaton(kws)
+        out = []
+        for arr in s:
+            kept = [p for p in arr if _hit(a, p)] if arr is not None else []
+            out.append(sep.join(kept) if kept else None)
+        return pd.Series(out, dtype=object)
+
+    return _join(_c(paragraphs))
+
+
+def contains_any(text: Column | str, keywords: list[str], lower: bool = True, jvm_only: bool = False) -> Column:
     """True when the (lower-cased) text contains any keyword as a substring.
 
-    Keywords are used as given: an upper-case keyword never matches
-    lower-cased text, as in the original. A chain of ``contains`` keeps
-    the test in generated code and stops at the first hit.
+    Keywords are used as given: a keyword with an upper-case letter never
+    matches lower-cased text, as in the original, so it is left out. The
+    rest form one alternation: the text is lower-cased once and scanned
+    once, even where the optimizer inlines the text expression. Long lists
+    use ``keyword_mask`` unless ``jvm_only`` (needed inside higher-order
+    function lambdas, where a Python UDF cannot run).
     """
+    if lower and not jvm_only and len(keywords) >= MULTI_PATTERN_MIN and _has_multi_pattern():
+        return keyword_mask(text, keywords)
     t = F.lower(_c(text)) if lower else _c(text)
-    cond = F.lit(False)
-    for k in keywords:
-        cond = cond | t.contains(k)
-    return cond
+    live = [k for k in keywords if not lower or k == k.lower()]
+    if not live:
+        return F.lit(False) & t.isNotNull()
+    return F.coalesce(t.rlike("|".join(regex_literal(k) for k in live)), F.lit(False))
 
 
 def py_title(text: Column | str) -> Column:

@@ -43,66 +43,97 @@ def _strip_blanks(part: Column) -> Column:
     return F.replace(part, F.lit(" "), F.lit(""))
 
 
-def _standardise(text: Column | str, pattern: str, per_part) -> Column:
+def _standardise(text: Column | str, pattern: str, prepare, value) -> Column:
+    """Split, then per part: ``prepare`` runs the regexes once and returns
+    a struct of the captures, ``value`` turns it into a number or null.
+    Two passes keep every regex at one evaluation per part."""
     parts = split_values(text, pattern)
-    values = F.filter(F.transform(parts, per_part), lambda v: v.isNotNull())
+    values = F.filter(F.transform(F.transform(parts, prepare), value), lambda v: v.isNotNull())
     return F.when(_c(text).isNotNull(), _nonempty(values))
 
 
+def _any_contains(text: Column, marks: list[str]) -> Column:
+    cond = None
+    for mark in marks:
+        hit = text.contains(mark)
+        cond = hit if cond is None else (cond | hit)
+    return cond
+
+
+def _convert(value: Column, unit: Column, units, contains: bool) -> Column:
+    out = None
+    for unit_txt, op, operand in units:
+        cond = unit.contains(unit_txt) if contains else (unit == unit_txt)
+        v = _apply(value, op, operand)
+        out = F.when(cond, v) if out is None else out.when(cond, v)
+    return out
+
+
 def std_pressure(text: Column | str) -> Column:
     """Pressure text -> pascal values."""
 
-    def part_value(part: Column) -> Column:
+    def prepare(part: Column) -> Column:
         p = F.replace(_strip_blanks(part), F.lit("×"), F.lit("x"))
-        base_txt = F.regexp_extract(p, K.PRESSURE_PATTERN, 1)
-        exp_txt = F.regexp_extract(p, K.PRESSURE_PATTERN, 2)
-        unit = F.regexp_extract(p, K.PRESSURE_PATTERN, 3)
-        base = base_txt.try_cast("double")
-        exponent = (
-            F.when(exp_txt == "", F.lit(0.0))
-            .otherwise(
-                F.coalesce(
-                    exp_txt.try_cast("double"),
-                    F.nullif(F.regexp_extract(exp_txt, r"(-?[0-9]+)", 1), F.lit("")).try_cast("double"),
-                    F.lit(0.0),
-                )
+        return F.struct(
+            F.regexp_extract(p, K.PRESSURE_PATTERN, 1).alias("b"),
+            F.regexp_extract(p, K.PRESSURE_PATTERN, 2).alias("e"),
+            F.regexp_extract(p, K.PRESSURE_PATTERN, 3).alias("u"),
+            _any_contains(p, K.PRESSURE_EXPONENT_MARKS).alias("scaled"),
+        )
+
+    def value(m: Column) -> Column:
+        base = m["b"].try_cast("double")
+        exp_txt = m["e"]
+        exponent = F.when(exp_txt == "", F.lit(0.0)).otherwise(
+            F.coalesce(
+                exp_txt.try_cast("double"),
+                F.nullif(F.regexp_extract(exp_txt, r"(-?[0-9]+)", 1), F.lit("")).try_cast("double"),
+                F.lit(0.0),
             )
         )
-        scaled_mark = None
-        for mark in K.PRESSURE_EXPONENT_MARKS:
-            hit = p.contains(mark)
-            scaled_mark = hit if scaled_mark is None else (scaled_mark | hit)
         power = F.pow(F.lit(10.0), exponent)
-        raw = F.when(scaled_mark, base * power).otherwise(base)
-        converted = None
-        for unit_txt, op, operand in K.PRESSURE_UNITS:
-            cond = unit.contains(unit_txt)
-            val = _apply(raw, op, operand)
-            converted = F.when(cond, val) if converted is None else converted.when(cond, val)
+        raw = F.when(m["scaled"], base * power).otherwise(base)
         # The original raises on 10**exponent overflow; that value is dropped here.
-        overflow = scaled_mark & (power == F.lit(float("inf")))
-        return F.when((base_txt != "") & base.isNotNull() & ~overflow, converted)
+        overflow = m["scaled"] & (power == F.lit(float("inf")))
+        return F.when((m["b"] != "") & base.isNotNull() & ~overflow, _convert(raw, m["u"], K.PRESSURE_UNITS, True))
 
-    return _standardise(text, K.SPLIT_PATTERN, part_value)
+    return _standardise(text, K.SPLIT_PATTERN, prepare, value)
 
 
 def std_temperature(text: Column | str) -> Column:
     """Temperature text -> degrees Celsius values."""
 
-    def part_value(part: Column) -> Column:
+    def prepare(part: Column) -> Column:
         p = _strip_blanks(part)
-        room = None
-        for mark in K.ROOM_TEMPERATURE_MARKS:
-            hit = p.contains(mark)
-            room = hit if room is None else (room | hit)
         q = F.replace(p, F.lit("°"), F.lit(""))
-        num_txt = F.regexp_extract(q, K.TEMPERATURE_PATTERN, 1)
-        unit = F.regexp_extract(q, K.TEMPERATURE_PATTERN, 2)
-        val = num_txt.try_cast("double")
-        converted = F.when(unit == "k", val - F.lit(K.KELVIN_OFFSET)).otherwise(val)
-        return F.when(room, F.lit(K.ROOM_TEMPERATURE_C)).when((num_txt != "") & val.isNotNull(), converted)
+        return F.struct(
+            _any_contains(p, K.ROOM_TEMPERATURE_MARKS).alias("room"),
+            F.regexp_extract(q, K.TEMPERATURE_PATTERN, 1).alias("n"),
+            F.regexp_extract(q, K.TEMPERATURE_PATTERN, 2).alias("u"),
+        )
+
+    def value(m: Column) -> Column:
+        val = m["n"].try_cast("double")
+        converted = F.when(m["u"] == "k", val - F.lit(K.KELVIN_OFFSET)).otherwise(val)
+        return F.when(m["room"], F.lit(K.ROOM_TEMPERATURE_C)).when((m["n"] != "") & val.isNotNull(), converted)
 
-    return _standardise(text, K.SPLIT_PATTERN, part_value)
+    return _standardise(text, K.SPLIT_PATTERN, prepare, value)
+
+
+def _number_unit(pattern: str, pre):
+    def prepare(part: Column) -> Column:
+        p = pre(_strip_blanks(part))
+        return F.struct(F.regexp_extract(p, pattern, 1).alias("n"), F.regexp_extract(p, pattern, 2).alias("u"))
+
+    return prepare
+
+
+def _number_unit_value(units):
+    def value(m: Column) -> Column:
+        val = m["n"].try_cast("double")
+        return F.when((m["n"] != "") & val.isNotNull(), _convert(val, m["u"], units, False))
+
+    return value
 
 
 def std_thickness(text: Column | str, angstrom: bool = False) -> Column:
@@ -112,39 +143,18 @@ def std_thickness(text: Column | str, angstrom: bool = False) -> Column:
     Ångström values are lost; ``angstrom=True`` maps the lower-case 'å'.
     """
 
-    def part_value(part: Column) -> Column:
-        p = F.replace(_strip_blanks(part), F.lit("Å"), F.lit("a"))
-        if angstrom:
-            p = F.replace(p, F.lit("å"), F.lit("a"))
-        num_txt = F.regexp_extract(p, K.THICKNESS_PATTERN, 1)
-        unit = F.regexp_extract(p, K.THICKNESS_PATTERN, 2)
-        val = num_txt.try_cast("double")
-        converted = None
-        for unit_txt, op, operand in K.THICKNESS_UNITS:
-            cond = unit == unit_txt
-            v = _apply(val, op, operand)
-            converted = F.when(cond, v) if converted is None else converted.when(cond, v)
-        return F.when((num_txt != "") & val.isNotNull(), converted)
+    def pre(p: Column) -> Column:
+        p = F.replace(p, F.lit("Å"), F.lit("a"))
+        return F.replace(p, F.lit("å"), F.lit("a")) if angstrom else p
 
-    return _standardise(text, K.SPLIT_PATTERN, part_value)
+    return _standardise(text, K.SPLIT_PATTERN, _number_unit(K.THICKNESS_PATTERN, pre),
+                        _number_unit_value(K.THICKNESS_UNITS))
 
 
 def std_power(text: Column | str) -> Column:
     """Power text -> watt values (``mw`` is read as milliwatt)."""
-
-    def part_value(part: Column) -> Column:
-        p = _strip_blanks(part)
-        num_txt = F.regexp_extract(p, K.POWER_PATTERN, 1)
-        unit = F.regexp_extract(p, K.POWER_PATTERN, 2)
-        val = num_txt.try_cast("double")
-        converted = None
-        for unit_txt, op, operand in K.POWER_UNITS:
-            cond = unit == unit_txt
-            v = _apply(val, op, operand)
-            converted = F.when(cond, v) if converted is None else converted.when(cond, v)
-        return F.when((num_txt != "") & val.isNotNull(), converted)
-
-    return _standardise(text, K.POWER_SPLIT_PATTERN, part_value)
+    return _standardise(text, K.POWER_SPLIT_PATTERN, _number_unit(K.POWER_PATTERN, lambda p: p),
+                        _number_unit_value(K.POWER_UNITS))
 
 
 def std_gas(text: Column | str) -> Column:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions.text import clean_text, contains_any, strip_tags
+from ..functions.text import _has_multi_pattern, clean_text, contains_any, keep_relevant_joined, strip_tags
 
 # --- documents ----------------------------------------------------------------
 
@@ -29,9 +29,9 @@ def paragraphs_of(text: Column | str) -> Column:
     return F.split(t, "\n", -1)
 
 
-def is_relevant(text: Column) -> Column:
+def is_relevant(text: Column, jvm_only: bool = False) -> Column:
     """B2: paragraph mentions a deposition keyword (lower-case substring)."""
-    return contains_any(text, K.PARAGRAPH_KEYWORDS)
+    return contains_any(text, K.PARAGRAPH_KEYWORDS, jvm_only=jvm_only)
 
 
 def relevant_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -47,7 +47,10 @@ def relevant_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def section_text(text: Column | str) -> Column:
     """The relevant cleaned paragraphs joined by one blank, in order;
     null when none survived (the section is dropped)."""
-    kept = F.filter(F.transform(paragraphs_of(text), lambda p: clean_text(p)), lambda p: is_relevant(p))
+    cleaned = F.transform(paragraphs_of(text), lambda p: clean_text(p))
+    if _has_multi_pattern():
+        return keep_relevant_joined(cleaned, K.PARAGRAPH_KEYWORDS)
+    kept = F.filter(cleaned, lambda p: is_relevant(p, jvm_only=True))
     return F.when(F.size(kept) > 0, F.array_join(kept, " "))
 
 
@@ -58,9 +61,8 @@ def structured_documents(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
         F.col(id_col).cast("string").alias("paper_id"),
         F.lit("").alias("title"),
         F.lit("").alias("abstract"),
-        F.when(section_text("text").isNotNull(), F.array(sec)).otherwise(
-            F.array().cast("array<struct<heading:string,text:string>>")
-        ).alias("sections"),
+        # the section text is built once; a section without text is dropped
+        F.filter(F.array(sec), lambda s: s["text"].isNotNull()).alias("sections"),
     )
 
 
@@ -150,7 +152,7 @@ def structured_pages(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
     kept = F.transform(
         secs,
         lambda s: F.struct(s["heading"].alias("heading"),
-                           F.array_join(F.filter(s["paragraphs"], lambda p: is_relevant(p)), " ").alias("text")),
+                           F.array_join(F.filter(s["paragraphs"], lambda p: is_relevant(p, jvm_only=True)), " ").alias("text")),
     )
     return pages.select(
         F.col(id_col).cast("string").alias("paper_id"),

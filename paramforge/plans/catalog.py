@@ -15,9 +15,16 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import units as U
+from ..functions.text import clean_text as _clean_text
+from ..functions.text import strip_suffixes
+from ..functions.vectors import as_double_array, letter_profile
 from ..operators import clean as C
+from ..operators import extract as X
+from ..operators import retrieval as R
 from ..operators import stats as S
+from ..operators import structure as B
 from ..sources.tables import raw_extractions, read_table
+from .store import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -46,12 +53,18 @@ def _arr_summary(arr: Column, prefix: str) -> list[Column]:
 # --- shared derived tables ---------------------------------------------------
 
 def clean_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stage 3 computed from the raw extraction table."""
     return C.papers_clean(raw_extractions(spark, sf_dir))
 
 
+def clean_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stage-3 table, parsed once and stored; later stages read it."""
+    return stored(spark, sf_dir, "papers_clean", lambda: clean_papers(spark, sf_dir))
+
+
 def final_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stage-4 table: clean papers whose method names a sputtering technique."""
-    return C.method_filter(clean_papers(spark, sf_dir))
+    return C.method_filter(clean_table(spark, sf_dir))
 
 
 def family_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,21 +128,21 @@ def q_papers_clean(spark, sf_dir):
 
 @query("scalar_view")
 def q_scalar_view(spark, sf_dir):
-    p = C.scalar_view(clean_papers(spark, sf_dir))
+    p = C.scalar_view(clean_table(spark, sf_dir))
     return p.select("paper_id", *[r6(m).alias(m) for m in C.MEASUREMENTS])
 
 
 @query("numeric_coerce")
 def q_numeric_coerce(spark, sf_dir):
     # the CSV hand-off: measurement cells as text, then coerced back
-    p = clean_papers(spark, sf_dir)
+    p = clean_table(spark, sf_dir)
     as_text = p.select("paper_id", *[C.render_number(m).alias(m) for m in C.MEASUREMENTS])
     coerced = C.numeric_coerce(as_text, C.MEASUREMENTS)
     return coerced.select("paper_id", *[r6(m).alias(m) for m in C.MEASUREMENTS])
 
 
 def _exploded(spark, sf_dir) -> DataFrame:
-    p = clean_papers(spark, sf_dir).select("paper_id", *C.EXPLODED)
+    p = clean_table(spark, sf_dir).select("paper_id", *C.EXPLODED)
     return C.explode_cross(p)
 
 
@@ -156,7 +169,7 @@ def q_method_filter(spark, sf_dir):
 
 @query("filter_report")
 def q_filter_report(spark, sf_dir):
-    return C.filter_report(clean_papers(spark, sf_dir))
+    return C.filter_report(clean_table(spark, sf_dir))
 
 
 @query("fill_sentinel")
@@ -177,9 +190,17 @@ def q_collection_rows(spark, sf_dir):
 
 
 def collection(spark, sf_dir) -> DataFrame:
+    """Stage 5 computed: one item per paper id."""
     return C.collection_dedup(C.collection_rows(final_papers(spark, sf_dir)))
 
 
+def collection_table(spark, sf_dir) -> DataFrame:
+    """Stage-5 table (the vector collection): items with their embedding,
+    written once."""
+    return stored(spark, sf_dir, "collection",
+                  lambda: collection(spark, sf_dir).withColumn("vec", letter_profile("document")))
+
+
 @query("collection_dedup")
 def q_collection_dedup(spark, sf_dir):
     return collection(spark, sf_dir)
@@ -244,22 +265,22 @@ def _hist_out(h: DataFrame, keys: list[str] | None = None) -> DataFrame:
 
 @query("hist_power")
 def q_hist_power(spark, sf_dir):
-    return _hist_out(S.eda_histogram(clean_papers(spark, sf_dir), "power_w"))
+    return _hist_out(S.eda_histogram(clean_table(spark, sf_dir), "power_w"))
 
 
 @query("hist_pressure")
 def q_hist_pressure(spark, sf_dir):
-    return _hist_out(S.eda_histogram(clean_papers(spark, sf_dir), "working_pressure_pa"))
+    return _hist_out(S.eda_histogram(clean_table(spark, sf_dir), "working_pressure_pa"))
 
 
 @query("hist_temperature")
 def q_hist_temperature(spark, sf_dir):
-    return _hist_out(S.eda_histogram(clean_papers(spark, sf_dir), "temperature_c"))
+    return _hist_out(S.eda_histogram(clean_table(spark, sf_dir), "temperature_c"))
 
 
 @query("hist_thickness")
 def q_hist_thickness(spark, sf_dir):
-    return _hist_out(S.eda_histogram(clean_papers(spark, sf_dir), "thickness_nm"))
+    return _hist_out(S.eda_histogram(clean_table(spark, sf_dir), "thickness_nm"))
 
 
 @query("hist_family")
@@ -281,10 +302,6 @@ def q_outlier_fence(spark, sf_dir):
 
 # --- A/B: sources and text structuring -------------------------------------------
 
-from ..functions.text import clean_text as _clean_text  # noqa: E402
-from ..functions.text import strip_suffixes  # noqa: E402
-from ..operators import extract as X  # noqa: E402
-from ..operators import structure as B  # noqa: E402
 
 
 @query("paper_id_from_path")
@@ -361,7 +378,9 @@ def q_parse_report(spark, sf_dir):
 
 
 def structured_docs(spark, sf_dir) -> DataFrame:
-    return B.structured_documents(read_table(spark, sf_dir, "documents"))
+    """Stage-1 table of the documents (structured papers), written once."""
+    return stored(spark, sf_dir, "structured_documents",
+                  lambda: B.structured_documents(read_table(spark, sf_dir, "documents")))
 
 
 @query("combined_text")
@@ -410,3 +429,101 @@ def q_rule_extract(spark, sf_dir):
     p = structured_docs(spark, sf_dir)
     return X.rule_extract(p.select("paper_id", X.combined_text(p).alias("combined_text"))).drop(
         "material", "substrate", "deposition_method", "target", "base_pressure")
+
+
+# --- E: retrieval -------------------------------------------------------------------
+
+
+
+def family_queries(spark) -> DataFrame:
+    """The family names as search texts (bounded: one per alias family)."""
+    fams = S.alias_table(spark).select(F.col("family").alias("query")).distinct()
+    return fams.select("query", letter_profile("query").alias("qvec"))
+
+
+def collection_vectors(spark, sf_dir) -> DataFrame:
+    return collection_table(spark, sf_dir).select("paper_id", "document", "material", "vec")
+
+
+def family_hits(spark, sf_dir, k: int) -> DataFrame:
+    return R.knn(collection_vectors(spark, sf_dir), family_queries(spark), k, item_id="paper_id")
+
+
+def _hits_out(h: DataFrame) -> DataFrame:
+    return h.select("query", "rank", "paper_id", "material", r6("distance").alias("distance"))
+
+
+@query("knn_top10")
+def q_knn_top10(spark, sf_dir):
+    return _hits_out(family_hits(spark, sf_dir, K.MICRO_K))
+
+
+@query("knn_top50")
+def q_knn_top50(spark, sf_dir):
+    return _hits_out(family_hits(spark, sf_dir, K.MACRO_K))
+
+
+def label_centroids(spark, sf_dir) -> DataFrame:
+    """One query vector per label: the mean embedding of its items."""
+    emb = read_table(spark, sf_dir, "embeddings")
+    per_dim = emb.select("label", F.posexplode("embedding").alias("pos", "x")).groupBy("label", "pos").agg(
+        F.avg(F.col("x").cast("double")).alias("m"))
+    return per_dim.groupBy("label").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("pos", "m"))), lambda s: s["m"]).alias("qvec"))
+
+
+def embedding_items(spark, sf_dir) -> DataFrame:
+    emb = read_table(spark, sf_dir, "embeddings")
+    return emb.select("vec_id", as_double_array("embedding").alias("vec"))
+
+
+@query("knn_batch")
+def q_knn_batch(spark, sf_dir):
+    h = R.knn(embedding_items(spark, sf_dir), label_centroids(spark, sf_dir), K.MICRO_K,
+              item_id="vec_id", query_id="label")
+    return h.select("label", "rank", "vec_id", r6("distance").alias("distance"))
+
+
+@query("knn_lsh")
+def q_knn_lsh(spark, sf_dir):
+    h = R.knn_lsh(embedding_items(spark, sf_dir), label_centroids(spark, sf_dir), K.MICRO_K,
+                  item_id="vec_id", query_id="label")
+    return h.select("label", "rank", "vec_id", r6("distance").alias("distance"))
+
+
+@query("embed_hash")
+def q_embed_hash(spark, sf_dir):
+    return R.embed_hash(collection_table(spark, sf_dir).select("paper_id", "document"), "document").select(
+        "paper_id", "embedding")
+
+
+@query("retrieved_materials")
+def q_retrieved_materials(spark, sf_dir):
+    return R.retrieved_materials(family_hits(spark, sf_dir, K.MACRO_K))
+
+
+@query("family_alias")
+def q_family_alias(spark, sf_dir):
+    return R.family_alias(R.retrieved_materials(family_hits(spark, sf_dir, K.MACRO_K)))
+
+
+@query("alias_parse")
+def q_alias_parse(spark, sf_dir):
+    conv = read_table(spark, sf_dir, "conversations").filter(F.col("role") == "assistant")
+    return R.alias_parse(conv, "text", ["conv_id", "turn"])
+
+
+@query("rag_context")
+def q_rag_context(spark, sf_dir):
+    return R.rag_context(family_hits(spark, sf_dir, K.MICRO_K))
+
+
+@query("answer_request")
+def q_answer_request(spark, sf_dir):
+    ctx = R.rag_context(family_hits(spark, sf_dir, K.MICRO_K))
+    return R.answer_request(ctx, F.col("query"))
+
+
+@query("rag_sources")
+def q_rag_sources(spark, sf_dir):
+    return R.rag_sources(family_hits(spark, sf_dir, K.MICRO_K))

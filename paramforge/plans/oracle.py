@@ -538,3 +538,71 @@ def rule_field(t: str, pattern: str) -> str:
 
 reg("rule_extract", f"WITH {COMBINED} SELECT paper_id, "
     + ", ".join(f"{rule_field('combined_text', p)} AS {n}" for n, p in RULES.items()) + " FROM combined", base=False)
+
+
+# --- E ----------------------------------------------------------------------
+
+def letter_profile(x: str) -> str:
+    counts = f"list_transform(range(26), lambda i: length(lower({x})) - length(replace(lower({x}), chr(97 + CAST(i AS INTEGER)), '')))"
+    return (f"(SELECT list_transform(c, lambda n: n / greatest(list_reduce(c, lambda a, b: a + b), 1)) "
+            f"FROM (SELECT {counts} AS c))")
+
+
+def sq_l2(a: str, b: str) -> str:
+    return f"list_reduce(list_transform(list_zip({a}, {b}), lambda z: (z[1] - z[2]) * (z[1] - z[2])), lambda s, t: s + t)"
+
+
+FAMILIES = " UNION ".join(f"SELECT {lit(f)} AS query" for f in dict.fromkeys(f for f, _ in K.FAMILY_ALIASES))
+
+
+def family_hits_cte(k: int) -> str:
+    return f"""{COLLECTION_CTE},
+cvec AS (SELECT paper_id, document, material, {letter_profile('document')} AS vec FROM collection),
+fq AS (SELECT query, {letter_profile('query')} AS qvec FROM ({FAMILIES})),
+scored AS (SELECT fq.query, c.paper_id, c.document, c.material, {sq_l2('fq.qvec', 'c.vec')} AS distance
+           FROM cvec c, fq),
+hits AS (SELECT * FROM (
+   SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(distance, 9), paper_id) AS rank FROM scored)
+   WHERE rank <= {k})
+"""
+
+
+HITS_OUT = "SELECT query, CAST(rank AS INTEGER) AS rank, paper_id, material, round(distance, 6) AS distance FROM hits"
+reg("knn_top10", family_hits_cte(K.MICRO_K) + HITS_OUT)
+reg("knn_top50", family_hits_cte(K.MACRO_K) + HITS_OUT)
+
+reg("knn_batch", f"""
+WITH cent AS (
+  SELECT label, list(m ORDER BY pos) AS qvec FROM (
+    SELECT label, pos, avg(x) AS m FROM (
+      SELECT label, unnest(range(len(embedding))) AS pos, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings)
+    GROUP BY label, pos)
+  GROUP BY label),
+items AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS vec FROM embeddings),
+scored AS (SELECT c.label, i.vec_id, {sq_l2('c.qvec', 'i.vec')} AS distance FROM items i, cent c)
+SELECT label, CAST(rank AS INTEGER) AS rank, vec_id, round(distance, 6) AS distance FROM (
+  SELECT *, row_number() OVER (PARTITION BY label ORDER BY round(distance, 9), vec_id) AS rank FROM scored)
+WHERE rank <= {K.MICRO_K}""", base=False)
+
+reg("retrieved_materials", family_hits_cte(K.MACRO_K) + "SELECT DISTINCT query, material FROM hits")
+NORM = lambda x: f"regexp_replace(lower({x}), '[^\\p{{L}}\\p{{N}}]', '', 'g')"
+reg("family_alias", family_hits_cte(K.MACRO_K) + f"""
+SELECT query AS family, material FROM (SELECT DISTINCT query, material FROM hits)
+WHERE {NORM('material')} = {NORM('query')} OR starts_with({NORM('material')}, {NORM('query')})""")
+
+reg("alias_parse", f"""
+SELECT conv_id, turn, CAST(pos AS INTEGER) AS pos, {py_strip('n')} AS name FROM (
+  SELECT conv_id, turn, unnest(range(len(l))) AS pos, unnest(l) AS n
+  FROM (SELECT conv_id, turn, string_split(text, ',') AS l FROM conversations WHERE role = 'assistant'))""", base=False)
+
+CTX = "SELECT query, CAST(count(*) AS INTEGER) AS n_docs, string_agg(document, chr(10) || chr(10) ORDER BY rank) AS context FROM hits GROUP BY query"
+reg("rag_context", family_hits_cte(K.MICRO_K) + CTX)
+_a_pre, _a_rest = K.ANSWER_REQUEST_TEMPLATE.split("{context}")
+_a_mid, _a_post = _a_rest.split("{question}")
+reg("answer_request", family_hits_cte(K.MICRO_K) +
+    f"SELECT query, {lit(_a_pre)} || context || {lit(_a_mid)} || query || {lit(_a_post)} AS request FROM ({CTX})")
+_s_pre, _s_rest = K.SOURCE_LINE.split("{paper_id}")
+_s_mid, _s_post = _s_rest.split("{material}")
+reg("rag_sources", family_hits_cte(K.MICRO_K) +
+    f"SELECT query, {lit(K.SOURCES_HEADER)} || string_agg({lit(_s_pre)} || paper_id || {lit(_s_mid)} || material || "
+    f"{lit(_s_post)}, '' ORDER BY rank) AS sources FROM hits GROUP BY query")
