@@ -7,8 +7,9 @@ shared checkpoint folder the cluster names in ``spark.checkpoint.dir``:
 tasks are retried on executor loss and the commit is atomic, and the
 read back cuts the lineage, so no later query re-runs the regex parsing.
 
-The table path includes a fingerprint of the input folder and of this
-package's code, so a changed parser never reads an old table.
+The table path includes a fingerprint of the input files (name, size,
+modification time) and of this package's code, so neither new input nor
+a changed parser ever reads an old table.
 """
 
 from __future__ import annotations
@@ -44,9 +45,24 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def input_fingerprint(spark: SparkSession, sf_dir: str) -> str:
+    """Name, size and modification time of every entry of the input folder
+    (metadata only; no data is read)."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(sf_dir)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    h = hashlib.sha1(str(fs.makeQualified(p).toString()).encode())
+    for st in sorted(fs.listStatus(p), key=lambda x: x.getPath().getName()):
+        h.update(f"{st.getPath().getName()}|{st.getLen()}|{st.getModificationTime()}".encode())
+    return h.hexdigest()[:16]
+
+
 def table_path(spark: SparkSession, sf_dir: str, name: str) -> str:
-    root = ensure_checkpoint_dir(spark).rstrip("/")
-    key = hashlib.sha1(f"{os.path.abspath(sf_dir)}|{code_fingerprint()}".encode()).hexdigest()[:16]
+    ensure_checkpoint_dir(spark)
+    # the shared folder itself (not Spark's per-application subfolder), so a
+    # later run over unchanged input and code reuses the table
+    root = (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()).rstrip("/")
+    key = hashlib.sha1(f"{input_fingerprint(spark, sf_dir)}|{code_fingerprint()}".encode()).hexdigest()[:16]
     return f"{root}/paramforge-tables/{key}/{name}"
 
 
