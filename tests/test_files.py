@@ -36,12 +36,14 @@ def test_tei_structure(spark, tmp):
     os.makedirs(d)
     with open(os.path.join(d, "p1.grobid.tei.xml"), "w") as f:
         f.write(GOOD_TEI)
-    with open(os.path.join(d, "bad.xml"), "w") as f:
-        f.write("<TEI><text><body><div>")
+    with open(os.path.join(d, "cut.xml"), "w") as f:  # truncated: read up to the cut
+        f.write("<TEI><text><body><div><head>Methods</head><p>RF sputtering at 5 W.</p><p>cut")
+    with open(os.path.join(d, "bad.xml"), "w") as f:  # no element at all
+        f.write("not xml")
     with open(os.path.join(d, "notes.txt"), "w") as f:
         f.write("ignored")
     files = FS.read_xml_dir(spark, d)
-    assert sorted(r.paper_id for r in files.collect()) == ["bad", "p1"]
+    assert sorted(r.paper_id for r in files.collect()) == ["bad", "cut", "p1"]
     st = TEI.structure_tei(files)
     rows = {r.paper_id: r for r in st.collect()}
     p = rows["p1"]
@@ -50,8 +52,11 @@ def test_tei_structure(spark, tmp):
     assert p.sections[0].text == ("Films were grown by RF sputtering at 100 W and 5 mTorr. "
                                   "The substrate temperature was 300 K [2-4].")
     assert not rows["bad"].ok and rows["bad"].error
+    cut = rows["cut"]
+    assert cut.ok and cut.error.startswith("recovered") and cut.sections[0].heading == "Methods"
+    assert cut.sections[0].text == "RF sputtering at 5 W."
     rep = TEI.tei_report(st).collect()[0]
-    assert (rep.total, rep.succeeded, rep.failed) == (2, 1, 1)
+    assert (rep.total, rep.succeeded, rep.failed) == (3, 2, 1)
     cells = TEI.tei_cells(st).orderBy("table_idx", "row_idx", "cell_idx").collect()
     assert [(c.table_idx, c.row_idx, c.cell) for c in cells][:3] == [(1, 0, "Table Caption:"), (1, 0, "Table 1: Parameters"), (1, 1, "Power")]
     assert (cells[-1].table_idx, cells[-1].row_idx, cells[-1].cell) == (2, 1, "a")

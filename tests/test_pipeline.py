@@ -13,7 +13,7 @@ def test_pipeline_end_to_end(spark, tmp_path):
     with open(os.path.join(xml_dir, "p1.grobid.tei.xml"), "w") as f:
         f.write(GOOD_TEI)
     with open(os.path.join(xml_dir, "broken.xml"), "w") as f:
-        f.write("<TEI>")
+        f.write("no markup here")
     s1 = P.structure_stage(spark, xml_dir, out)
     rep = s1["report"].collect()[0]
     assert (rep.total, rep.succeeded, rep.failed) == (2, 1, 1)
