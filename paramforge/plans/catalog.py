@@ -316,7 +316,14 @@ def q_paper_id_from_path(spark, sf_dir):
 def q_incremental_anti_join(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents").select("doc_id")
     done = read_table(spark, sf_dir, "labels").select("doc_id")
-    return docs.join(done, on="doc_id", how="left_anti")
+    return X.pending(docs, done, key="doc_id")
+
+
+@query("incremental_report")
+def q_incremental_report(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents").select("doc_id")
+    done = read_table(spark, sf_dir, "labels").select("doc_id")
+    return X.skip_report(docs, done, key="doc_id")
 
 
 @query("json_ingest")

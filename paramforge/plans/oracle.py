@@ -451,6 +451,11 @@ FROM pages""", base=False)
 reg("incremental_anti_join", """
 SELECT d.doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)""", base=False)
 
+reg("incremental_report", """
+SELECT CAST(count(*) FILTER (WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)) AS BIGINT) AS skipped,
+       CAST(count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)) AS BIGINT) AS new
+FROM documents d""", base=False)
+
 reg("json_ingest", """
 SELECT event_id, props->>'k' AS k FROM events
 WHERE json_valid(props) AND json_type(props::JSON) = 'OBJECT'""", base=False)

@@ -38,11 +38,15 @@ def file_name(path_col: str = "path"):
     return F.regexp_extract(F.col(path_col), r"[^/]+$", 0)
 
 
-def paper_id_from_path(path_col: str = "path"):
-    """A2: file name without every '.grobid.tei.xml', then every '.xml',
-    then every '_extracted.json'."""
-    name = strip_suffixes(file_name(path_col), K.PAPER_FILE_SUFFIXES)
-    return strip_suffixes(name, [K.EXTRACTION_FILE_SUFFIX])
+def paper_id_from_path(path_col: str = "path", suffixes: list[str] = K.PAPER_FILE_SUFFIXES):
+    """A2: file name without every occurrence of each suffix, in order:
+    '.grobid.tei.xml' then '.xml' for TEI files, '_extracted.json' for
+    extraction files."""
+    return strip_suffixes(file_name(path_col), suffixes)
+
+
+def extraction_id_from_path(path_col: str = "path"):
+    return paper_id_from_path(path_col, [K.EXTRACTION_FILE_SUFFIX])
 
 
 def read_xml_dir(spark: SparkSession, directory: str) -> DataFrame:
@@ -87,7 +91,7 @@ def read_extraction_files(spark: SparkSession, directory: str) -> DataFrame:
     Files that are not a JSON object (broken, truncated, an array) are
     skipped; see ``extraction_file_report`` for the counts."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*" + K.EXTRACTION_FILE_SUFFIX).load(directory)
-    texts = files.select(paper_id_from_path().alias("paper_id"), F.decode("content", "UTF-8").alias("text"))
+    texts = files.select(extraction_id_from_path().alias("paper_id"), F.decode("content", "UTF-8").alias("text"))
     ok = texts.filter(is_json_object("text"))
     parsed = ok.select("paper_id", F.from_json("text", RAW_SCHEMA).alias("j")).select("paper_id", "j.*")
     return parsed.select("paper_id", *[F.col(k).alias(k.lower()) for k in K.RAW_KEYS])

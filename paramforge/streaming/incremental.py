@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..operators.extract import is_json_object
-from ..sources.files import paper_id_from_path
+from ..sources.files import extraction_id_from_path
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -28,7 +28,7 @@ def _exists(spark: SparkSession, path: str) -> bool:
 def _append_new(out_path: str):
     def run(batch: DataFrame, epoch_id: int) -> None:
         spark = batch.sparkSession
-        rows = batch.select(paper_id_from_path("path").alias("paper_id"), F.col("value").alias("text")).filter(
+        rows = batch.select(extraction_id_from_path("path").alias("paper_id"), F.col("value").alias("text")).filter(
             is_json_object("text"))
         if _exists(spark, f"{out_path}/_SUCCESS"):
             done = spark.read.parquet(out_path).select("paper_id")
