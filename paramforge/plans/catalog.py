@@ -431,6 +431,18 @@ def q_fence_strip(spark, sf_dir):
     return r.select("conv_id", "turn", X.fence_strip("response").alias("cleaned"))
 
 
+@query("rule_papers_clean")
+def q_rule_papers_clean(spark, sf_dir):
+    """Stage 2 by rules feeding stage 3: documents -> raw fields -> clean rows."""
+    p = structured_docs(spark, sf_dir)
+    raw = X.rule_extract(p.select("paper_id", X.combined_text(p).alias("combined_text")))
+    clean = C.papers_clean(raw)
+    cols = [F.col("paper_id"), F.col("gas_mixture_std")]
+    for m in C.MEASUREMENTS:
+        cols += _arr_summary(F.col(m), m)
+    return clean.select(*cols)
+
+
 @query("rule_extract")
 def q_rule_extract(spark, sf_dir):
     p = structured_docs(spark, sf_dir)

@@ -611,3 +611,17 @@ _s_mid, _s_post = _s_rest.split("{material}")
 reg("rag_sources", family_hits_cte(K.MICRO_K) +
     f"SELECT query, {lit(K.SOURCES_HEADER)} || string_agg({lit(_s_pre)} || paper_id || {lit(_s_mid)} || material || "
     f"{lit(_s_post)}, '' ORDER BY rank) AS sources FROM hits GROUP BY query")
+
+
+_RULE_RAW = ", ".join(f"{rule_field('combined_text', p)} AS {n}" for n, p in RULES.items())
+_RULE_CLEAN = (
+    f"SELECT paper_id, {std_gas(nullsent('gas_mixture'))} AS gas_mixture_std, "
+    f"{std_power(nullsent('power'))} AS power_w, "
+    f"{std_pressure(nullsent('working_pressure'))} AS working_pressure_pa, "
+    f"CAST(NULL AS DOUBLE[]) AS base_pressure_pa, "
+    f"{std_temperature(nullsent('temperature'))} AS temperature_c, "
+    f"{std_thickness(nullsent('film_thickness'))} AS thickness_nm "
+    f"FROM (SELECT paper_id, {_RULE_RAW} FROM combined)"
+)
+reg("rule_papers_clean", f"WITH {COMBINED}, rclean AS ({_RULE_CLEAN}) SELECT paper_id, gas_mixture_std, "
+    + ", ".join(arr_summary(m, m) for m in MEAS) + " FROM rclean", base=False)

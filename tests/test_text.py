@@ -75,3 +75,21 @@ def test_length_gate_and_request(spark):
     assert [r.g for r in df.select(X.length_gate("t").alias("g")).collect()] == [True, False]
     req = df.select(X.request_text(F.col("t")).alias("r")).collect()[0].r
     assert req.endswith("a" * 51 + "\n    ") and '"Film_Thickness"' in req
+
+
+def test_structured_pages_on_real_pages(spark):
+    from pyspark.sql import functions as F
+
+    from paramforge.operators import structure as B
+    from paramforge.sources.tables import read_table
+
+    pages = read_table(spark, "/root/testdata/sf0.001", "pages")
+    sp = B.structured_pages(pages)
+    rows = sp.collect()
+    assert len(rows) == pages.count()
+    assert all(r.title and "<" not in r.title and "&amp;" not in r.title for r in rows)
+    # every kept section text is made of relevant paragraphs only
+    for r in rows:
+        for s in r.sections:
+            assert s.text and s.heading
+    assert sp.select(F.size("sections").alias("n")).agg(F.sum("n")).collect()[0][0] >= 0
