@@ -10,8 +10,9 @@ Shape of the plans:
   are partially aggregated; exact ``median``/``mode`` buffers hold the
   distinct values of a group, not its rows. ``exact=False`` switches to
   fixed-size sketches (``percentile_approx``) for unbounded cardinality.
-* Histograms: one aggregate gives min/max (a single row, broadcast), a
-  second counts per bin. Lists are not cross-exploded: a value of column
+* Histograms: one aggregate gives min/max (a single row, broadcast; per
+  group, a small table AQE broadcasts by measured size), a second counts
+  per bin. Lists are not cross-exploded: a value of column
   X is weighted by the product of the other exploded list sizes, which
   gives the same counts as the four chained explodes with far fewer rows.
 """
@@ -168,8 +169,9 @@ def histogram(values: DataFrame, n_bins: int, keys: list[str] | None = None,
     lo, hi = _widen(F.col("lo"), F.col("hi"))
     # a global aggregate of empty input is one all-null row: drop it
     rng = rng.filter(F.col("lo").isNotNull()).select(*keys, lo.alias("lo"), hi.alias("hi"))
-    # range rows are one per key group: tiny next to the values
-    joined = v.join(F.broadcast(rng), on=keys, how="inner") if keys else v.crossJoin(F.broadcast(rng))
+    # Without keys the range is one row: broadcast by construction. With keys
+    # it is one row per group, so AQE decides from the measured size.
+    joined = v.join(rng, on=keys, how="inner") if keys else v.crossJoin(F.broadcast(rng))
     counts = joined.groupBy(*keys, _bin_of(F.col(value), F.col("lo"), F.col("hi"), n_bins).alias("bin")).agg(
         F.sum(w).cast("bigint").alias("count")
     )
@@ -245,7 +247,7 @@ def outlier_fence(family: DataFrame, k: float = 1.5, exact: bool = True) -> Data
     iqr = F.col("q3") - F.col("q1")
     return (
         family_long(family)
-        .join(F.broadcast(q), on=["family", "metric"])  # one row per (family, metric)
+        .join(q, on=["family", "metric"])  # one row per (family, metric): AQE broadcasts it by measured size
         .filter((F.col("value") >= F.col("q1") - k * iqr) & (F.col("value") <= F.col("q3") + k * iqr))
         .select("family", "metric", "paper_id", "value")
     )
