@@ -52,9 +52,15 @@ def _arr_summary(arr: Column, prefix: str) -> list[Column]:
 
 # --- shared derived tables ---------------------------------------------------
 
+def raw_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stage-2 output (the raw extraction store), written once; stage 3
+    reads it as the original reads its extraction files."""
+    return stored(spark, sf_dir, "raw_extractions", lambda: raw_extractions(spark, sf_dir))
+
+
 def clean_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stage 3 computed from the raw extraction table."""
-    return C.papers_clean(raw_extractions(spark, sf_dir))
+    return C.papers_clean(raw_table(spark, sf_dir))
 
 
 def clean_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,20 +81,20 @@ def family_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("multi_value_split")
 def q_multi_value_split(spark, sf_dir):
-    raw = raw_extractions(spark, sf_dir)
+    raw = raw_table(spark, sf_dir)
     return raw.select("paper_id", F.posexplode(U.split_values("working_pressure")).alias("pos", "part"))
 
 
 @query("std_power")
 def q_std_power(spark, sf_dir):
-    raw = raw_extractions(spark, sf_dir)
+    raw = raw_table(spark, sf_dir)
     v = U.std_power(C.null_sentinel("power"))
     return raw.select("paper_id", "power", *_arr_summary(v, "power_w"))
 
 
 @query("std_pressure")
 def q_std_pressure(spark, sf_dir):
-    raw = raw_extractions(spark, sf_dir)
+    raw = raw_table(spark, sf_dir)
     wp = U.std_pressure(C.null_sentinel("working_pressure"))
     bp = U.std_pressure(C.null_sentinel("base_pressure"))
     return raw.select(
@@ -99,21 +105,21 @@ def q_std_pressure(spark, sf_dir):
 
 @query("std_temperature")
 def q_std_temperature(spark, sf_dir):
-    raw = raw_extractions(spark, sf_dir)
+    raw = raw_table(spark, sf_dir)
     v = U.std_temperature(C.null_sentinel("temperature"))
     return raw.select("paper_id", "temperature", *_arr_summary(v, "temperature_c"))
 
 
 @query("std_thickness")
 def q_std_thickness(spark, sf_dir):
-    raw = raw_extractions(spark, sf_dir)
+    raw = raw_table(spark, sf_dir)
     v = U.std_thickness(C.null_sentinel("film_thickness"))
     return raw.select("paper_id", "film_thickness", *_arr_summary(v, "thickness_nm"))
 
 
 @query("std_gas")
 def q_std_gas(spark, sf_dir):
-    raw = raw_extractions(spark, sf_dir)
+    raw = raw_table(spark, sf_dir)
     return raw.select("paper_id", "gas_mixture", U.std_gas(C.null_sentinel("gas_mixture")).alias("gas_mixture_std"))
 
 

@@ -1,8 +1,8 @@
 """Stage tables written once and read by the later stages.
 
-The pipeline hands over between stages through tables (clean papers,
-the collection, the structured documents), as the original hands over
-through files. Building a stage table is a normal Spark write into the
+The pipeline hands over between stages through tables (the raw
+extraction store, clean papers, the collection, the structured
+documents), as the original hands over through files. Building a stage table is a normal Spark write into the
 shared checkpoint folder the cluster names in ``spark.checkpoint.dir``:
 tasks are retried on executor loss and the commit is atomic, and the
 read back cuts the lineage, so no later query re-runs the regex parsing.
