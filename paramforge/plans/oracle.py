@@ -567,7 +567,7 @@ fq AS (SELECT query, {letter_profile('query')} AS qvec FROM ({FAMILIES})),
 scored AS (SELECT fq.query, c.paper_id, c.document, c.material, {sq_l2('fq.qvec', 'c.vec')} AS distance
            FROM cvec c, fq),
 hits AS (SELECT * FROM (
-   SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(distance, 9), paper_id) AS rank FROM scored)
+   SELECT *, row_number() OVER (PARTITION BY query ORDER BY distance, paper_id) AS rank FROM scored)
    WHERE rank <= {k})
 """
 
@@ -586,7 +586,7 @@ WITH cent AS (
 items AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS vec FROM embeddings),
 scored AS (SELECT c.label, i.vec_id, {sq_l2('c.qvec', 'i.vec')} AS distance FROM items i, cent c)
 SELECT label, CAST(rank AS INTEGER) AS rank, vec_id, round(distance, 6) AS distance FROM (
-  SELECT *, row_number() OVER (PARTITION BY label ORDER BY round(distance, 9), vec_id) AS rank FROM scored)
+  SELECT *, row_number() OVER (PARTITION BY label ORDER BY distance, vec_id) AS rank FROM scored)
 WHERE rank <= {K.MICRO_K}""", base=False)
 
 reg("retrieved_materials", family_hits_cte(K.MACRO_K) + "SELECT DISTINCT query, material FROM hits")
