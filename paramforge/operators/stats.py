@@ -9,7 +9,8 @@ Shape of the plans:
   at once) instead of one pass per statistic and family. ``avg/min/max``
   are partially aggregated; exact ``median``/``mode`` buffers hold the
   distinct values of a group, not its rows. ``exact=False`` switches to
-  fixed-size sketches (``percentile_approx``) for unbounded cardinality.
+  fixed-size sketches (``percentile_approx``, ``approx_top_k``) for
+  unbounded cardinality.
 * Histograms: one aggregate gives min/max (a single row, broadcast; per
   group, a small table AQE broadcasts by measured size), a second counts
   per bin. Lists are not cross-exploded: a value of column
@@ -81,8 +82,9 @@ def consensus(family: DataFrame, exact: bool = True, metrics: list[str] = FAMILY
         aggs += [
             F.avg(m).alias(f"{m}_mean"),
             med.alias(f"{m}_median"),
-            # smallest of the most frequent values; the buffer holds distinct values
-            F.mode(F.col(m), True).alias(f"{m}_mode"),
+            # exact: smallest of the most frequent values (the buffer holds the
+            # distinct values of a group); approximate: a fixed-size frequent-items sketch
+            (F.mode(F.col(m), True) if exact else F.expr(f"approx_top_k(`{m}`, 1)")[0]["item"]).alias(f"{m}_mode"),
             F.min(m).alias(f"{m}_min"),
             F.max(m).alias(f"{m}_max"),
         ]

@@ -73,3 +73,11 @@ def test_collection_dedup_keeps_smallest(spark):
                                   "paper_id string, document string, material string, substrate string")
     out = {r.paper_id: r for r in C.collection_dedup(items).collect()}
     assert out["x"].document == "a doc" and out["x"].material == "M2" and len(out) == 2
+
+
+def test_consensus_approximate_path(spark):
+    fam = spark.createDataFrame([("F", f"p{i}", float(v), 20.0, 1.0, "Si") for i, v in enumerate([1, 2, 2, 3, 9])],
+                                "family string, paper_id string, power_w double, temperature_c double, "
+                                "working_pressure_pa double, substrate string")
+    r = S.consensus(fam, exact=False).collect()[0]
+    assert r.power_w_mode == 2.0 and r.power_w_median == 2.0 and r.power_w_min == 1.0 and r.power_w_max == 9.0
