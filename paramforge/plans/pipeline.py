@@ -86,3 +86,35 @@ def family_filter_by_name(final: DataFrame, spark: SparkSession, family: str, na
     """A single family from an explicit name list (a parsed model reply)."""
     aliases = spark.createDataFrame([(family, n) for n in names], "family string, material string")
     return S.family_filter(final, aliases).withColumn("family", F.lit(family))
+
+
+def main(argv: list[str] | None = None) -> None:
+    """Command line: run the stages over folders with the cluster's session.
+
+    python -m paramforge.plans.pipeline --tei DIR --extracted DIR --out DIR
+    """
+    import argparse
+
+    ap = argparse.ArgumentParser(description="Run the structuring, cleaning, collection and dashboard stages.")
+    ap.add_argument("--tei", help="folder of TEI *.xml files (stage 1)")
+    ap.add_argument("--extracted", help="folder of *_extracted.json files (stages 3-6)")
+    ap.add_argument("--out", required=True, help="output folder (parquet / CSV)")
+    ap.add_argument("--corrected-keywords", action="store_true",
+                    help="method filter with the comma restored (keeps plain 'magnetron')")
+    args = ap.parse_args(argv)
+    spark = SparkSession.builder.appName("paramforge-pipeline").getOrCreate()
+    if args.tei:
+        s1 = structure_stage(spark, args.tei, args.out)
+        s1["report"].show()
+    if args.extracted:
+        kw = K.METHOD_KEYWORDS_CORRECTED if args.corrected_keywords else K.METHOD_KEYWORDS
+        s2 = clean_stage(spark, args.extracted, args.out, kw)
+        s2["files"].show()
+        s2["filter"].show()
+        collection_stage(spark, s2["final"], args.out)
+        for name, df in dashboard(spark, s2["final"]).items():
+            df.write.mode("overwrite").parquet(os.path.join(args.out, "dashboard", name))
+
+
+if __name__ == "__main__":
+    main()
