@@ -46,3 +46,17 @@ def test_pipeline_end_to_end(spark, tmp_path):
     assert z.temperature_c_mode == 25.0 and z.top_substrate in ("Not Specified", "Si (100)", "Soda-Lime Glass")
     assert "TiN" not in cons
     assert sum(r["count"] for r in dash["histograms"].filter("family = 'ZnO' AND metric = 'power_w'").collect()) == 2
+
+
+def test_command_line(spark, tmp_path):
+    xml_dir, ext_dir, out = (str(tmp_path / n) for n in ("xml", "ext", "out"))
+    os.makedirs(xml_dir)
+    os.makedirs(ext_dir)
+    with open(os.path.join(xml_dir, "p1.grobid.tei.xml"), "w") as f:
+        f.write(GOOD_TEI)
+    with open(os.path.join(ext_dir, "p1_extracted.json"), "w") as f:
+        json.dump({"Material": "ZnO", "Deposition_Method": "Magnetron", "Power": "100 W"}, f)
+    P.main(["--tei", xml_dir, "--extracted", ext_dir, "--out", out, "--corrected-keywords"])
+    cons = spark.read.parquet(os.path.join(out, "dashboard", "consensus")).collect()
+    assert [(r.family, r.n_papers, r.power_w_mean) for r in cons] == [("ZnO", 1, 100.0)]
+    assert spark.read.parquet(os.path.join(out, "requests")).count() == 1
