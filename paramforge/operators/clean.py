@@ -96,7 +96,9 @@ def fill_sentinel(df: DataFrame, value: str = K.NOT_SPECIFIED, cols: list[str] |
 def explode_cross(papers: DataFrame) -> DataFrame:
     """Explode the four list columns one after another (a paper
     contributes the cross product of its lists). Kept as the plain
-    operator; the histograms use the weighted form instead."""
+    operator; the histograms use the weighted form instead. Rows per paper
+    are the product of its four list lengths, each bounded by the parts of
+    one text field; no rows of different papers are ever paired."""
     out = papers
     for c in EXPLODED:
         out = out.withColumn(c, F.explode_outer(c))
