@@ -91,7 +91,7 @@ def family_filter_by_name(final: DataFrame, spark: SparkSession, family: str, na
 def main(argv: list[str] | None = None) -> None:
     """Command line: run the stages over folders with the cluster's session.
 
-    python -m paramforge.plans.pipeline --tei DIR --extracted DIR --out DIR
+    python -m paramforge.plans.stages --tei DIR --extracted DIR --out DIR
     """
     import argparse
 
@@ -102,7 +102,7 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--corrected-keywords", action="store_true",
                     help="method filter with the comma restored (keeps plain 'magnetron')")
     args = ap.parse_args(argv)
-    spark = SparkSession.builder.appName("paramforge-pipeline").getOrCreate()
+    spark = SparkSession.builder.appName("paramforge-stages").getOrCreate()
     if args.tei:
         s1 = structure_stage(spark, args.tei, args.out)
         s1["report"].show()

@@ -2,7 +2,7 @@
 import json
 import os
 
-from paramforge.plans import pipeline as P
+from paramforge.plans import stages as P
 from test_files import GOOD_TEI
 
 
