@@ -47,20 +47,6 @@ def regex_literal(s: str) -> str:
 # Arrow-batched pandas UDF (one pass per text, Python's own lower());
 # shorter lists stay a JVM regex.
 MULTI_PATTERN_MIN = 16
-_AUTOMATA: dict[tuple, object] = {}
-
-
-def _automaton(keywords: tuple):
-    a = _AUTOMATA.get(keywords)
-    if a is None:
-        import ahocorasick
-
-        a = ahocorasick.Automaton()
-        for k in keywords:
-            a.add_word(k, k)
-        a.make_automaton()
-        _AUTOMATA[keywords] = a
-    return a
 
 
 def _has_multi_pattern() -> bool:
@@ -71,13 +57,9 @@ def _has_multi_pattern() -> bool:
     return True
 
 
-def _hit(automaton, text) -> bool:
-    if text is None:
-        return False
-    for _ in automaton.iter(text.lower()):
-        return True
-    return False
-
+# The UDF bodies below are self-contained (closures over plain values,
+# imports inside), so executors need only pandas and pyahocorasick, not
+# this package on their path.
 
 def keyword_mask(text: Column | str, keywords: list[str]) -> Column:
     """Boolean: lower-cased text contains any keyword (Aho-Corasick, one
@@ -86,8 +68,21 @@ def keyword_mask(text: Column | str, keywords: list[str]) -> Column:
 
     @F.pandas_udf("boolean")
     def _mask(s: pd.Series) -> pd.Series:
-        a = _automaton(kws)
-        return pd.Series([_hit(a, t) for t in s], dtype=bool)
+        import ahocorasick
+
+        auto = ahocorasick.Automaton()
+        for k in kws:
+            auto.add_word(k, k)
+        auto.make_automaton()
+        out = []
+        for t in s:
+            hit = False
+            if t is not None:
+                for _ in auto.iter(t.lower()):
+                    hit = True
+                    break
+            out.append(hit)
+        return pd.Series(out, dtype=bool)
 
     return _mask(_c(text))
 
@@ -99,10 +94,23 @@ def keep_relevant_joined(paragraphs: Column | str, keywords: list[str], sep: str
 
     @F.pandas_udf("string")
     def _join(s: pd.Series) -> pd.Series:
-        a = _automaton(kws)
+        import ahocorasick
+
+        auto = ahocorasick.Automaton()
+        for k in kws:
+            auto.add_word(k, k)
+        auto.make_automaton()
+
+        def hit(t) -> bool:
+            if t is None:
+                return False
+            for _ in auto.iter(t.lower()):
+                return True
+            return False
+
         out = []
         for arr in s:
-            kept = [p for p in arr if _hit(a, p)] if arr is not None else []
+            kept = [p for p in arr if hit(p)] if arr is not None else []
             out.append(sep.join(kept) if kept else None)
         return pd.Series(out, dtype=object)
 

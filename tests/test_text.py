@@ -93,3 +93,35 @@ def test_structured_pages_on_real_pages(spark):
         for s in r.sections:
             assert s.text and s.heading
     assert sp.select(F.size("sections").alias("n")).agg(F.sum("n")).collect()[0][0] >= 0
+
+
+def test_task_functions_run_without_the_package(tmp_path):
+    """Task-side functions are closures over plain values: unpickled in a
+    Python process without this package on its path (an executor that does
+    not have it), they still run."""
+    import os
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    from paramforge.operators import retrieval as R
+    from paramforge.operators import tei as TEI
+
+    _, batches = TEI._make_parser(("sputter",), "Unknown Section", "Table Caption:")
+    kernel = R._partial_topk([[0.0, 1.0]], 1, "id", "vec")
+    (tmp_path / "f.pkl").write_bytes(cloudpickle.dumps((batches, kernel)))
+    code = (
+        "import pandas as pd; from pyspark import cloudpickle\n"
+        "batches, kernel = cloudpickle.loads(open('f.pkl','rb').read())\n"
+        "doc = '<TEI><text><body><div><head>H</head><p>RF sputter</p></div></body></text></TEI>'\n"
+        "out = next(batches(iter([pd.DataFrame({'paper_id': ['a'], 'content': [doc]})])))\n"
+        "assert out.ok[0] and out.sections[0][0]['heading'] == 'H'\n"
+        "top = next(kernel(iter([pd.DataFrame({'id': [1, 2], 'vec': [[0.0, 1.0], [5.0, 5.0]]})])))\n"
+        "assert list(top['id']) == [1]\n"
+        "import importlib.util; assert importlib.util.find_spec('paramforge') is None\n"
+        "print('ok')\n"
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    res = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=120)
+    assert res.returncode == 0 and "ok" in res.stdout, res.stderr[-2000:]
