@@ -81,3 +81,13 @@ def test_consensus_approximate_path(spark):
                                 "working_pressure_pa double, substrate string")
     r = S.consensus(fam, exact=False).collect()[0]
     assert r.power_w_mode == 2.0 and r.power_w_median == 2.0 and r.power_w_min == 1.0 and r.power_w_max == 9.0
+
+
+def test_quartiles_and_fences_approximate_path(spark):
+    fam = spark.createDataFrame([("F", f"p{i}", float(v), None, None, None) for i, v in enumerate([1, 2, 3, 4, 100])],
+                                "family string, paper_id string, power_w double, temperature_c double, "
+                                "working_pressure_pa double, substrate string")
+    b = S.box_quartiles(fam, exact=False).collect()[0]
+    assert b.n == 5 and b.q1 <= b.median <= b.q3 and b.median == 3.0
+    kept = sorted(r.value for r in S.outlier_fence(fam, exact=False).collect())
+    assert 100.0 not in kept and 3.0 in kept
