@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import uuid
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -38,13 +39,6 @@ def code_fingerprint() -> str:
     return h.hexdigest()[:12]
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.exists(p)
-
-
 def input_fingerprint(spark: SparkSession, sf_dir: str) -> str:
     """Name, size and modification time of every entry of the input folder
     (metadata only; no data is read)."""
@@ -66,10 +60,33 @@ def table_path(spark: SparkSession, sf_dir: str, name: str) -> str:
     return f"{root}/paramforge-tables/{key}/{name}"
 
 
+def _complete_versions(spark: SparkSession, base: str) -> list[str]:
+    """Version folders under ``base`` whose write committed (``_SUCCESS``),
+    in name order."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(base)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return []
+    out = []
+    for st in fs.listStatus(p):
+        name = st.getPath().getName()
+        if st.isDirectory() and name.startswith("v-") and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
+            out.append(st.getPath().toString())
+    return sorted(out)
+
+
 def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
     """The stage table ``name`` for ``sf_dir``: written by ``build()`` on
-    first use, then read from storage."""
-    path = table_path(spark, sf_dir, name)
-    if not _exists(spark, f"{path}/_SUCCESS"):
-        build().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    first use, then read from storage.
+
+    Each build writes its own version folder (no overwrite, no rename), and
+    readers take the first committed version, so two jobs building the same
+    table at once never disturb each other; their versions are identical
+    because input and code are part of the key."""
+    base = table_path(spark, sf_dir, name)
+    versions = _complete_versions(spark, base)
+    if not versions:
+        build().write.mode("errorifexists").parquet(f"{base}/v-{uuid.uuid4().hex}")
+        versions = _complete_versions(spark, base)
+    return spark.read.parquet(versions[0])
