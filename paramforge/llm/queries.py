@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paramforge.llm import chosen_path, robust_quality
+from paramforge.llm import chosen_path, robust_quality, suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,12 +18,17 @@ def op1_robust_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("distance2", 6).alias("distance2"), F.round("distance_limit", 6).alias("distance_limit"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removed_report(_table(spark, sf_dir, "documents"))
+
+
 def op4_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op1_robust_quality": op1_robust_quality,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_chosen_path": op4_chosen_path,
 }
 
