@@ -6,7 +6,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paramforge.llm import chosen_path, robust_quality, suffix_dedup
+from paramforge.llm import chosen_path, robust_quality, suffix_dedup, token_store
+
+
+def tokenizer_path(name: str) -> str:
+    """Place of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,10 +33,15 @@ def op4_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.stored_report(_table(spark, sf_dir, "documents"), token_store.Params(tokenizer_path("byte_bpe_50k.json")))
+
+
 QUERIES = {
     "op1_robust_quality": op1_robust_quality,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_chosen_path": op4_chosen_path,
+    "op10_token_store": op10_token_store,
 }
 
 ORACLE: dict[str, str] = {}
