@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paramforge.llm import chosen_path, robust_quality, suffix_dedup, token_store
+from paramforge.llm import chosen_path, robust_quality, simhash_decontam, suffix_dedup, token_store
 
 
 def tokenizer_path(name: str) -> str:
@@ -33,6 +33,10 @@ def op4_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op6_simhash_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_decontam.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.stored_report(_table(spark, sf_dir, "documents"), token_store.Params(tokenizer_path("byte_bpe_50k.json")))
 
@@ -41,6 +45,7 @@ QUERIES = {
     "op1_robust_quality": op1_robust_quality,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_chosen_path": op4_chosen_path,
+    "op6_simhash_decontam": op6_simhash_decontam,
     "op10_token_store": op10_token_store,
 }
 
