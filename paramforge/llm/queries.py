@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paramforge.llm import chosen_path, robust_quality, simhash_decontam, suffix_dedup, token_store
+from paramforge.llm import chosen_path, piece_viterbi, robust_quality, simhash_decontam, suffix_dedup, token_store
 
 
 def tokenizer_path(name: str) -> str:
@@ -33,6 +33,10 @@ def op4_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op5_piece_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_viterbi.pieces_of(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op6_simhash_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_decontam.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -45,6 +49,7 @@ QUERIES = {
     "op1_robust_quality": op1_robust_quality,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_chosen_path": op4_chosen_path,
+    "op5_piece_viterbi": op5_piece_viterbi,
     "op6_simhash_decontam": op6_simhash_decontam,
     "op10_token_store": op10_token_store,
 }
