@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paramforge.llm import chosen_path, interpolated_lm, piece_viterbi, robust_quality, rule_classifier, simhash_decontam, suffix_dedup, temporal_urls, token_store
+from paramforge.llm import chosen_path, interpolated_lm, license_alignment, piece_viterbi, robust_quality, rule_classifier, simhash_decontam, suffix_dedup, temporal_urls, token_store
 
 
 def tokenizer_path(name: str) -> str:
@@ -25,6 +25,10 @@ def op1_robust_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("distance2", 6).alias("distance2"), F.round("distance_limit", 6).alias("distance_limit"))
 
 
+def op2_license_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_alignment.licences(_table(spark, sf_dir, "documents"))
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.removed_report(_table(spark, sf_dir, "documents"))
 
@@ -95,6 +99,7 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_robust_quality": op1_robust_quality,
+    "op2_license_alignment": op2_license_alignment,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_chosen_path": op4_chosen_path,
     "op5_piece_viterbi": op5_piece_viterbi,
