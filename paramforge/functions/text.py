@@ -8,8 +8,9 @@ read the same way.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
-import pandas as pd
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -43,97 +44,25 @@ def regex_literal(s: str) -> str:
     return "".join("\\" + ch if ch in _REGEX_META else ch for ch in s)
 
 
-# Keyword lists at least this long are matched with Aho-Corasick in an
-# Arrow-batched pandas UDF (one pass per text, Python's own lower());
-# shorter lists stay a JVM regex.
-MULTI_PATTERN_MIN = 16
-
-
-def _has_multi_pattern() -> bool:
-    try:
-        import ahocorasick  # noqa: F401
-    except ImportError:
-        return False
-    return True
-
-
-# The UDF bodies below are self-contained (closures over plain values,
-# imports inside), so executors need only pandas and pyahocorasick, not
-# this package on their path.
-
-def keyword_mask(text: Column | str, keywords: list[str]) -> Column:
-    """Boolean: lower-cased text contains any keyword (Aho-Corasick, one
-    scan per text, vectorised over Arrow batches)."""
-    kws = tuple(k for k in keywords if k == k.lower())
-
-    @F.pandas_udf("boolean")
-    def _mask(s: pd.Series) -> pd.Series:
-        import ahocorasick
-
-        auto = ahocorasick.Automaton()
-        for k in kws:
-            auto.add_word(k, k)
-        auto.make_automaton()
-        out = []
-        for t in s:
-            hit = False
-            if t is not None:
-                for _ in auto.iter(t.lower()):
-                    hit = True
-                    break
-            out.append(hit)
-        return pd.Series(out, dtype=bool)
-
-    return _mask(_c(text))
-
-
-def keep_relevant_joined(paragraphs: Column | str, keywords: list[str], sep: str = " ") -> Column:
-    """The paragraphs of an array that contain a keyword, joined by
-    ``sep``; null when none does."""
-    kws = tuple(k for k in keywords if k == k.lower())
-
-    @F.pandas_udf("string")
-    def _join(s: pd.Series) -> pd.Series:
-        import ahocorasick
-
-        auto = ahocorasick.Automaton()
-        for k in kws:
-            auto.add_word(k, k)
-        auto.make_automaton()
-
-        def hit(t) -> bool:
-            if t is None:
-                return False
-            for _ in auto.iter(t.lower()):
-                return True
-            return False
-
-        out = []
-        for arr in s:
-            kept = [p for p in arr if hit(p)] if arr is not None else []
-            out.append(sep.join(kept) if kept else None)
-        return pd.Series(out, dtype=object)
-
-    return _join(_c(paragraphs))
+def unsubsumed(keywords: list[str]) -> list[str]:
+    """Keywords that contain no other keyword of the list: a text holds any
+    of the list exactly if it holds any of these."""
+    return [k for k in dict.fromkeys(keywords) if not any(o != k and o in k for o in keywords)]
 
 
-def contains_any(text: Column | str, keywords: list[str], lower: bool = True, jvm_only: bool = False) -> Column:
+def contains_any(text: Column | str, keywords: list[str], lower: bool = True) -> Column:
     """True when the (lower-cased) text contains any keyword as a substring.
 
     Keywords are used as given: a keyword with an upper-case letter never
     matches lower-cased text, as in the original, so it is left out. The
-    rest form one alternation: the text is lower-cased once and scanned
-    once, even where the optimizer inlines the text expression. Long lists
-    use ``keyword_mask`` unless ``jvm_only`` (needed inside higher-order
-    function lambdas, where a Python UDF cannot run).
+    text expression is evaluated and lower-cased once (as the only element
+    of an array), whatever the number of keywords.
     """
-    if lower and not jvm_only and len(keywords) >= MULTI_PATTERN_MIN and _has_multi_pattern():
-        return keyword_mask(text, keywords)
     t = F.lower(_c(text)) if lower else _c(text)
-    live = [k for k in keywords if not lower or k == k.lower()]
+    live = unsubsumed([k for k in keywords if not lower or k == k.lower()])
     if not live:
         return F.lit(False) & t.isNotNull()
-    return F.coalesce(t.rlike("|".join(regex_literal(k) for k in live)), F.lit(False))
+    return F.coalesce(F.exists(F.array(t), lambda x: reduce(lambda p, q: p | q, [x.contains(k) for k in live])), F.lit(False))
 
 
 def py_title(text: Column | str) -> Column:

@@ -117,12 +117,21 @@ def thickness_filter(df: DataFrame, limit: float = K.THICKNESS_PLOT_LIMIT_NM, co
 
 # --- collection rows (C18, C19, A11) ---------------------------------------
 
+def number_text(x: Column) -> Column:
+    """A number with 15 significant digits, no trailing zeros: ``200.0``,
+    ``0.133322``, ``1.33322e-07`` (scientific below 1e-4 and from 1e15)."""
+    sci = F.format_string("%.14e", x)
+    plain = F.regexp_replace(F.regexp_replace(sci.try_cast("decimal(38,20)").cast("string"), "0+$", ""), r"\.$", ".0")
+    size = F.abs(x)
+    return F.when(x == 0, F.lit("0.0")).when((size >= 1e-4) & (size < 1e15), plain).otherwise(F.regexp_replace(sci, r"\.?0+e", "e"))
+
+
 def render_number(values: Column | str) -> Column:
-    """Numbers inside rendered sentences, by one fixed rule: ``%.6f`` for a
-    single value, ``[a, b]`` of those for a list, 'Not specified' for none."""
+    """Numbers inside rendered sentences: a single value, ``[a, b]`` for a
+    list, 'Not specified' for none."""
     v = F.col(values) if isinstance(values, str) else values
-    one = F.format_string("%.6f", F.try_element_at(v, F.lit(1)))
-    many = F.concat(F.lit("["), F.array_join(F.transform(v, lambda x: F.format_string("%.6f", x)), ", "), F.lit("]"))
+    one = number_text(F.try_element_at(v, F.lit(1)))
+    many = F.concat(F.lit("["), F.array_join(F.transform(v, number_text), ", "), F.lit("]"))
     return F.when(v.isNull(), F.lit(K.NOT_SPECIFIED)).when(F.size(v) == 1, one).otherwise(many)
 
 

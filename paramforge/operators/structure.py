@@ -8,9 +8,7 @@ Two inputs share the operators:
   ``<ul>`` lists as tables of cells.
 
 Everything works on one row at a time (array higher-order functions),
-so there is no shuffle. The 48-keyword relevance test runs as an
-Arrow-batched Aho-Corasick pandas UDF (``functions/text.keyword_mask``),
-with a JVM regex form inside array lambdas. TEI files with nested
+so there is no shuffle and no Python. TEI files with nested
 divisions go through ``tei.py`` instead.
 """
 
@@ -20,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions.text import _has_multi_pattern, clean_text, contains_any, keep_relevant_joined, strip_tags
+from ..functions.text import clean_text, contains_any, strip_tags
 
 # --- documents ----------------------------------------------------------------
 
@@ -31,9 +29,9 @@ def paragraphs_of(text: Column | str) -> Column:
     return F.split(t, "\n", -1)
 
 
-def is_relevant(text: Column, jvm_only: bool = False) -> Column:
+def is_relevant(text: Column) -> Column:
     """B2: paragraph mentions a deposition keyword (lower-case substring)."""
-    return contains_any(text, K.PARAGRAPH_KEYWORDS, jvm_only=jvm_only)
+    return contains_any(text, K.PARAGRAPH_KEYWORDS)
 
 
 def relevant_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -50,9 +48,7 @@ def section_text(text: Column | str) -> Column:
     """The relevant cleaned paragraphs joined by one blank, in order;
     null when none survived (the section is dropped)."""
     cleaned = F.transform(paragraphs_of(text), lambda p: clean_text(p))
-    if _has_multi_pattern():
-        return keep_relevant_joined(cleaned, K.PARAGRAPH_KEYWORDS)
-    kept = F.filter(cleaned, lambda p: is_relevant(p, jvm_only=True))
+    kept = F.filter(cleaned, lambda p: is_relevant(p))
     return F.when(F.size(kept) > 0, F.array_join(kept, " "))
 
 
@@ -154,7 +150,7 @@ def structured_pages(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
     kept = F.transform(
         secs,
         lambda s: F.struct(s["heading"].alias("heading"),
-                           F.array_join(F.filter(s["paragraphs"], lambda p: is_relevant(p, jvm_only=True)), " ").alias("text")),
+                           F.array_join(F.filter(s["paragraphs"], lambda p: is_relevant(p)), " ").alias("text")),
     )
     return pages.select(
         F.col(id_col).cast("string").alias("paper_id"),

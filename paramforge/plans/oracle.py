@@ -1,7 +1,8 @@
 """DuckDB SQL for each registered query (the correctness oracle).
 
-Written independently of the Spark code, as plain SQL over the
-pre-registered table views. Shared pieces (the derived raw extraction
+Plain SQL over the pre-registered table views. It shares the fixed
+values (constants) and the derived raw extraction table with the Spark
+code, so hand-made expected values in ``tests/`` cover those. Shared pieces (the derived raw extraction
 table, the clean and final paper tables) are CTEs prepended to each
 query; expression builders below produce SQL text.
 """
@@ -122,7 +123,7 @@ def nvals(a: str) -> str:
 
 
 def arr_summary(a: str, prefix: str) -> str:
-    return f"{nvals(a)} AS {prefix}_n, {r6(f'{a}[1]')} AS {prefix}_first, {r6(f'{a}[-1]')} AS {prefix}_last"
+    return f"{nvals(a)} AS {prefix}_n, array_to_string(list_transform({a}, lambda x: printf('%.9e', x)), ', ') AS {prefix}_values"
 
 
 def contains_any(x: str, keywords: list[str]) -> str:
@@ -155,9 +156,16 @@ def substrate_class(x: str) -> str:
     return f"(CASE {' '.join(whens)} ELSE {lit(K.SUBSTRATE_OTHER)} END)"
 
 
+def number_text(x: str) -> str:
+    sci = f"printf('%.14e', {x})"
+    plain = f"regexp_replace(regexp_replace(CAST(TRY_CAST({sci} AS DECIMAL(38,20)) AS VARCHAR), '0+$', ''), '\\.$', '.0')"
+    small = f"regexp_replace({sci}, '\\.?0+e', 'e')"
+    return f"(CASE WHEN {x} = 0 THEN '0.0' WHEN abs({x}) >= 1e-4 AND abs({x}) < 1e15 THEN {plain} ELSE {small} END)"
+
+
 def render_number(a: str) -> str:
-    one = f"printf('%.6f', {a}[1])"
-    many = f"'[' || array_to_string(list_transform({a}, lambda x: printf('%.6f', x)), ', ') || ']'"
+    one = number_text(f"{a}[1]")
+    many = f"'[' || array_to_string(list_transform({a}, lambda x: {number_text('x')}), ', ') || ']'"
     return f"(CASE WHEN {a} IS NULL THEN {NS} WHEN len({a}) = 1 THEN {one} ELSE {many} END)"
 
 

@@ -40,14 +40,18 @@ def code_fingerprint() -> str:
 
 
 def input_fingerprint(spark: SparkSession, sf_dir: str) -> str:
-    """Name, size and modification time of every entry of the input folder
-    (metadata only; no data is read)."""
+    """Path, size and modification time of every file below the input folder,
+    partition folders included (metadata only; no data is read)."""
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(sf_dir)
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     h = hashlib.sha1(str(fs.makeQualified(p).toString()).encode())
-    for st in sorted(fs.listStatus(p), key=lambda x: x.getPath().getName()):
-        h.update(f"{st.getPath().getName()}|{st.getLen()}|{st.getModificationTime()}".encode())
+    files, found = fs.listFiles(p, True), []
+    while files.hasNext():
+        st = files.next()
+        found.append(f"{st.getPath().toString()}|{st.getLen()}|{st.getModificationTime()}")
+    for line in sorted(found):
+        h.update(line.encode())
     return h.hexdigest()[:16]
 
 

@@ -61,24 +61,42 @@ def write_structured(papers: DataFrame, path: str, fmt: str = "parquet") -> None
     papers.select(*[f.name for f in STRUCTURED_SCHEMA.fields]).write.mode("overwrite").format(fmt).save(path)
 
 
+def _json_records(spark: SparkSession, path: str) -> DataFrame:
+    """(path, record): a file is one JSON object over many lines, or JSON
+    lines (its first line is an object of its own)."""
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.json")
+    files = files.select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+    lines = F.filter(F.split("text", r"\r?\n"), lambda x: F.trim(x) != "")
+    is_lines = is_json_object(F.try_element_at(lines, F.lit(1)))
+    return files.select("path", F.explode(F.when(is_lines, lines).when(F.size(lines) > 0, F.array("text"))).alias("record"))
+
+
 def read_structured(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
-    """A5: structured papers with a fixed schema; malformed records are
-    dropped, a missing folder reads as empty."""
-    reader = spark.read.schema(STRUCTURED_SCHEMA)
-    if fmt == "json":
-        reader = reader.option("mode", "DROPMALFORMED")
+    """A5: structured papers with a fixed schema, from parquet or from JSON
+    files below ``path`` (indented objects or JSON lines). Records that are
+    no object are left out and counted by ``structured_report``; a missing
+    folder reads as empty."""
     try:
-        return reader.format(fmt).load(path)
+        if fmt != "json":
+            return spark.read.schema(STRUCTURED_SCHEMA).format(fmt).load(path)
+        records = _json_records(spark, path)
     except Exception as e:  # noqa: BLE001 - only a missing path is tolerated
         if "PATH_NOT_FOUND" in str(e) or "Path does not exist" in str(e):
             return spark.createDataFrame([], STRUCTURED_SCHEMA)
         raise
+    return records.filter(is_json_object("record")).select(F.from_json("record", STRUCTURED_SCHEMA).alias("j")).select("j.*")
+
+
+def structured_report(spark: SparkSession, path: str) -> DataFrame:
+    """Records found, loaded and skipped by ``read_structured``."""
+    ok = is_json_object("record")
+    return _json_records(spark, path).agg(F.count(F.lit(1)).alias("records"), F.count_if(ok).alias("loaded"), F.count_if(~ok).alias("skipped"))
 
 
 def write_tables(cells: DataFrame, path: str) -> None:
     """A4: paper tables in long form (paper_id, table_idx, row_idx, cells),
-    partitioned by paper so one paper's tables sit together."""
-    cells.write.mode("overwrite").partitionBy("paper_id").parquet(path)
+    sorted by paper within each file (row-group statistics prune on it)."""
+    cells.sortWithinPartitions("paper_id", "table_idx", "row_idx").write.mode("overwrite").parquet(path)
 
 
 def write_raw_extractions(responses: DataFrame, path: str) -> None:
@@ -104,9 +122,15 @@ def extraction_file_report(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """CSV with a header; array columns are written as JSON text."""
-    cols = [F.to_json(F.col(f.name)).alias(f.name) if isinstance(f.dataType, T.ArrayType) else F.col(f.name)
-            for f in df.schema.fields]
+    """CSV with a header. In an array column one value is written as a
+    plain number, more as list text, none as an empty field."""
+    def cell(f: T.StructField):
+        if not isinstance(f.dataType, T.ArrayType):
+            return F.col(f.name)
+        one = F.try_element_at(f.name, F.lit(1)).cast("string")
+        return F.when(F.size(f.name) == 1, one).when(F.size(f.name) > 1, F.to_json(f.name)).alias(f.name)
+
+    cols = [cell(f) for f in df.schema.fields]
     df.select(*cols).write.mode("overwrite").option("header", True).csv(path)
 
 

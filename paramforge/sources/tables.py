@@ -12,40 +12,13 @@ TABLES = [
 ]
 
 
-SPREAD_MIN_BYTES = 1 << 20  # below this one task is plenty
-
-
-def _input_bytes(df: DataFrame) -> int:
-    """Total size of the files behind a scan (file metadata only)."""
-    sc = df.sparkSession.sparkContext
-    conf = sc._jsc.hadoopConfiguration()
-    total = 0
-    for f in df.inputFiles():
-        p = sc._jvm.org.apache.hadoop.fs.Path(f)
-        total += p.getFileSystem(conf).getFileStatus(p).getLen()
-    return total
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Give a scan at least as many partitions as the cluster has cores.
-
-    A file written as one row group is one scan task, which would run all
-    the per-row parsing on a single core. Only then (and only when the
-    input is not tiny) is it spread round-robin once; a scan of many files
-    or row groups (any real input at scale) already has enough splits and
-    is left untouched, so this adds no shuffle there. Column pruning still
-    reaches the scan.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores or _input_bytes(df) < SPREAD_MIN_BYTES:
-        return df
-    return df.repartition(cores)
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table as a lazy parquet scan (column pruning and filter pushdown
-    reach the scan), spread over the cores when it has too few splits."""
-    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+    reach the scan). A session may set ``paramforge.scan.partitions`` where
+    its files have fewer row groups than it has cores."""
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    parts = spark.conf.get("paramforge.scan.partitions", None)
+    return df.repartition(int(parts)) if parts else df
 
 
 # Raw extraction rows derived from lineitem. The same SQL text runs in

@@ -66,6 +66,14 @@ def test_tei_structure(spark, tmp):
     back = FS.read_structured(spark, out).collect()
     assert back[0].sections[1].heading == "Unknown Section"
     assert FS.read_structured(spark, os.path.join(tmp, "missing")).count() == 0
+    # one indented object per file, in a folder per paper, and a broken file
+    for name, body in (("p1", json.dumps({"paper_id": "p1", "title": "T", "abstract": "A", "sections": [{"heading": "H", "text": "x"}]}, indent=4)), ("p2", "{broken")):
+        os.makedirs(os.path.join(tmp, "indented", name))
+        with open(os.path.join(tmp, "indented", name, "structured_data.json"), "w") as f:
+            f.write(body)
+    one = FS.read_structured(spark, os.path.join(tmp, "indented")).collect()
+    assert [(r.title, r.sections[0].text) for r in one] == [("T", "x")]
+    assert tuple(FS.structured_report(spark, os.path.join(tmp, "indented")).first()) == (2, 1, 1)
 
 
 def test_extraction_files(spark, tmp):
@@ -79,16 +87,17 @@ def test_extraction_files(spark, tmp):
         "c": json.dumps({"Material": "TiN", "Power": ["100 W", "200 W"]}),
         "d": json.dumps([{"Material": "x"}]),
         "e": '{"Material": "ZnO", "Power": "10',
+        "f": '{"Material": "A", "Material": "B", "Power": NaN}',
     }
     for k, v in docs.items():
         with open(os.path.join(d, f"{k}_extracted.json"), "w") as f:
             f.write(v)
     raw = FS.read_extraction_files(spark, d)
     got = {r.paper_id: r for r in raw.collect()}
-    assert sorted(got) == ["a", "b", "c"]
+    assert sorted(got) == ["a", "b", "c", "f"] and got["f"].material == "B"
     assert got["b"].power == "150" and got["b"].material is None and got["c"].power.startswith("[")
     rep = FS.extraction_file_report(spark, d).collect()[0]
-    assert (rep.files, rep.loaded, rep.skipped) == (5, 3, 2)
+    assert (rep.files, rep.loaded, rep.skipped) == (6, 4, 2)
     from paramforge.operators import clean as C
     clean = {r.paper_id: r for r in C.papers_clean(raw).collect()}
     assert clean["a"].power_w == [100.0] and clean["a"].base_pressure_pa is None
@@ -98,7 +107,7 @@ def test_extraction_files(spark, tmp):
 
 def test_csv_round_trip_and_missing(spark, tmp):
     from paramforge.operators import clean as C
-    df = spark.createDataFrame([("p1", "ZnO", None, "RF sputtering", "Ar", [1.0, 2.0], [0.5], None, [25.0], [100.0])],
+    df = spark.createDataFrame([("p1", "ZnO", None, "RF sputtering", "Ar", [1.0, 2.0], [1.33322e-08], None, [25.0], [100.0])],
                                "paper_id string, material string, substrate string, method string, "
                                "gas_mixture_std string, power_w array<double>, working_pressure_pa array<double>, "
                                "base_pressure_pa array<double>, temperature_c array<double>, thickness_nm array<double>")
@@ -107,8 +116,10 @@ def test_csv_round_trip_and_missing(spark, tmp):
     back = FS.read_csv(spark, out, na_values=["NA"])
     r = back.collect()[0]
     assert r.paper_id == "p1" and r.substrate is None and r.power_w == "[1.0,2.0]"
-    coerced = C.numeric_coerce(back, ["power_w", "working_pressure_pa"]).collect()[0]
+    assert (r.working_pressure_pa, r.base_pressure_pa, r.temperature_c, r.thickness_nm) == ("1.33322E-8", None, "25.0", "100.0")
+    coerced = C.numeric_coerce(back, C.MEASUREMENTS).collect()[0]
     assert coerced.power_w is None  # lists do not survive the text round trip
+    assert (coerced.working_pressure_pa, coerced.base_pressure_pa, coerced.temperature_c, coerced.thickness_nm) == (1.33322e-08, None, 25.0, 100.0)
     with pytest.raises(FileNotFoundError):
         FS.read_csv(spark, os.path.join(tmp, "nope.csv"))
 

@@ -91,3 +91,14 @@ def test_quartiles_and_fences_approximate_path(spark):
     assert b.n == 5 and b.q1 <= b.median <= b.q3 and b.median == 3.0
     kept = sorted(r.value for r in S.outlier_fence(fam, exact=False).collect())
     assert 100.0 not in kept and 3.0 in kept
+
+
+def test_number_text_keeps_small_values(spark):
+    from pyspark.sql import functions as F
+
+    from paramforge.operators.clean import number_text
+
+    vals = [200.0, 0.133322, 1.33322e-07, 1e-10, 0.0, -25.5, 0.0001, 123456.789, 2e15]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "i int, x double")
+    got = [r.t for r in df.select("i", number_text(F.col("x")).alias("t")).orderBy("i").collect()]
+    assert got == ["200.0", "0.133322", "1.33322e-07", "1e-10", "0.0", "-25.5", "0.0001", "123456.789", "2e+15"]

@@ -2,6 +2,14 @@
 from paramforge.plans import store
 
 
+def test_fingerprint_sees_files_in_partition_folders(spark, tmp_path):
+    path = f"{tmp_path}/t.parquet"
+    spark.range(5).selectExpr("id", "id % 2 as part").write.partitionBy("part").parquet(path)
+    before = store.input_fingerprint(spark, str(tmp_path))
+    spark.range(7).write.mode("append").parquet(f"{path}/part=1")
+    assert store.input_fingerprint(spark, str(tmp_path)) != before
+
+
 def test_stored_builds_once_and_reuses(spark, tmp_path):
     calls = []
 

@@ -20,7 +20,6 @@ def test_py_strip_and_title(spark):
 def test_keyword_tests(spark):
     texts = ["RF Sputtering at 5 W", "nothing here", "HEATER on", "Å/s only", None]
     assert values(spark, lambda c: contains_any(c, K.PARAGRAPH_KEYWORDS), texts) == [True, False, True, False, False]
-    assert values(spark, lambda c: contains_any(c, K.PARAGRAPH_KEYWORDS, jvm_only=True), texts) == [True, False, True, False, False]
 
 
 def test_method_filter_goldens(spark):
