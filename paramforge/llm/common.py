@@ -35,10 +35,10 @@ class Scratch:
         out._scratch_path = path
         return out
 
-    def drop(self, *tables: DataFrame) -> None:
+    def drop(self, *tables: DataFrame | str) -> None:
         jvm = self.spark.sparkContext._jvm
         for t in tables:
-            path = jvm.org.apache.hadoop.fs.Path(t._scratch_path)
+            path = jvm.org.apache.hadoop.fs.Path(t if isinstance(t, str) else t._scratch_path)
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
     def release_shuffles(self) -> None:

@@ -258,6 +258,7 @@ def lost_strings(docs: DataFrame, p: Params, scratch: Scratch) -> DataFrame:
         found = scratch.table(bucket.join(shared, "name"), "hits")
         hits = found if hits is None else hits.unionByName(found)
         scratch.release_shuffles()
+    scratch.drop(path)
     salts = F.when(F.col("n") > p.hot_rows, F.ceil(F.col("n") / p.hot_rows)).otherwise(0).cast("int")
     by_doc = hits.groupBy("doc").agg(F.collect_set(F.struct("name", salts.alias("salts"))).alias("hits"))
     rows = scratch.table(texts.join(by_doc, "doc").select("doc", "text", "hits").mapInArrow(lambda it: suffix_rows(it, p), "name long, salts int, doc long, first long, shift int, mask long, ctx binary"), "suffixes")
@@ -269,6 +270,7 @@ def lost_strings(docs: DataFrame, p: Params, scratch: Scratch) -> DataFrame:
     rest = rows.where("salts = 0").unionByName(hot)
     open_ = rest.repartition("name").sortWithinPartitions("name", "doc", "first")
     spans = scratch.table(open_.mapInArrow(lambda it: settle(it, p, False), "doc long, first long, mask long"), "spans")
+    scratch.drop(rows, hot)
     scratch.release_shuffles()
     by_doc = spans.groupBy("doc").agg(F.collect_list(F.struct("first", "mask")).alias("spans"))
     return copies.withColumn("copy", F.lit(True)).join(by_doc, "doc", "full")
