@@ -146,9 +146,12 @@ def suffix_rows(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.Rec
     position, with the bytes of all strings that lean on it."""
     schema = pa.schema([("name", pa.int64()), ("salts", pa.int32()), ("doc", pa.int64()), ("first", pa.int64()), ("shift", pa.int32()), ("mask", pa.int64()), ("ctx", pa.binary())])
     for batch in batches:
-        for doc, text, hits in zip(*(batch.column(c).to_pylist() for c in ("doc", "text", "hits")), strict=True):
-            shared = np.array([h["name"] for h in hits], dtype=np.int64).view(np.uint64)
-            salts = np.array([h["salts"] for h in hits], dtype=np.int32)
+        hits = batch.column("hits")
+        at_hit = hits.offsets.to_numpy()
+        all_names, all_salts = (hits.values.field(c).to_numpy(zero_copy_only=False) for c in ("name", "salts"))
+        for k, (doc, text) in enumerate(zip(batch.column("doc").to_pylist(), batch.column("text").to_pylist(), strict=True)):
+            shared = all_names[at_hit[k] : at_hit[k + 1]].view(np.uint64)
+            salts = all_salts[at_hit[k] : at_hit[k + 1]]
             order = np.argsort(shared)
             shared, salts = shared[order], salts[order]
             raw = as_bytes(text)
@@ -156,14 +159,17 @@ def suffix_rows(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.Rec
                 names = names_of(piece, p.name_len)
                 least, cand = sampled(names, p.span)
                 # leftmost sampled position in each window that holds its least name
-                k = np.searchsorted(cand, np.arange(len(least)))
-                todo = np.flatnonzero(names[cand[k]] != least)
+                is_cand = np.zeros(len(names), dtype=np.int64)
+                is_cand[cand] = 1
+                nth = (np.cumsum(is_cand) - is_cand)[: len(least)]  # sampled positions before each window
+                value = names[cand]
+                todo = np.flatnonzero(value[nth] != least)
                 while len(todo):
-                    k[todo] += 1
-                    todo = todo[names[cand[k[todo]]] != least[todo]]
-                cuts = np.flatnonzero(np.diff(k)) + 1
-                first, last = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(k)]]) - 1
-                pos = cand[k[first]]
+                    nth[todo] += 1
+                    todo = todo[value[nth[todo]] != least[todo]]
+                cuts = np.flatnonzero(np.diff(nth)) + 1
+                first, last = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(nth)]]) - 1
+                pos = cand[nth[first]]
                 hit = np.searchsorted(shared, names[pos])
                 hit[hit == len(shared)] = 0
                 ok = shared[hit] == names[pos]
@@ -203,7 +209,7 @@ def settle(batches: Iterator[pa.RecordBatch], p: Params, carry: bool) -> Iterato
             all_key = np.concatenate([old_key, key]) if keep else key
             all_doc = np.concatenate([old_doc, doc[row]]) if keep else doc[row]
             n_old = len(all_key) - len(key)
-            order = np.lexsort((np.arange(len(all_key)), all_key[:, 1], all_key[:, 0]))
+            order = np.argsort(all_key[:, 0] ^ (all_key[:, 1] * np.uint64(0xD6E8FEB86659FD93)), kind="stable")  # equal keys stay in order
             sk = all_key[order]
             new = np.ones(len(order), dtype=bool)
             new[1:] = (sk[1:] != sk[:-1]).any(axis=1)
@@ -231,7 +237,8 @@ def cut(raw: bytes, spans: list | None, whole: bool, p: Params) -> tuple[bytes,
         return raw, 0
     first = np.array([s["first"] for s in spans], dtype=np.int64)
     mask = np.array([s["mask"] for s in spans], dtype=np.int64)
-    at = np.concatenate([first[(mask >> k) & 1 == 1] + k for k in range(p.span)])
+    row, k = np.nonzero((mask[:, None] >> np.arange(p.span)) & 1)
+    at = first[row] + k
     edge = np.zeros(len(raw) + 1, dtype=np.int32)
     np.add.at(edge, at, 1)
     np.add.at(edge, at + p.min_len, -1)
