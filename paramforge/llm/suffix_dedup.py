@@ -190,8 +190,8 @@ def settle(batches: Iterator[pa.RecordBatch], p: Params, carry: bool) -> Iterato
     memory between batches. ``carry``: all columns, else doc, first, mask."""
     old_key, old_doc, old_name = np.empty((0, 2), np.uint64), np.empty(0, np.int64), None
     for whole in batches:
-        for lo in range(0, whole.num_rows, 20_000):
-            batch = whole.slice(lo, 20_000)
+        for lo in range(0, whole.num_rows, 4_000):
+            batch = whole.slice(lo, 4_000)
             name, doc, mask = (batch.column(c).to_numpy(zero_copy_only=False).copy() for c in ("name", "doc", "mask"))
             ctx = batch.column("ctx").to_pylist()
             size = np.array([len(x) for x in ctx])
