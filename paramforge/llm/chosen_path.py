@@ -51,11 +51,11 @@ class Params:
 def children(batches: Iterator[pa.RecordBatch], roots: list[int] | None, p: Params) -> Iterator[pa.RecordBatch]:
     """(doc, child) for the nodes of each text: ``roots``, or column ``nodes``."""
     hashes = WordHashes()
-    schema = pa.schema([("doc", pa.int64()), ("nodes", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc", pa.int64()), ("size", pa.int64()), ("nodes", pa.list_(pa.int64()))])
     for batch in batches:
         docs, texts = batch.column("doc").to_pylist(), batch.column("text").to_pylist()
         given = batch.column("nodes").to_pylist() if roots is None else None
-        out_doc, out_nodes = [], []
+        out_doc, out_size, out_nodes = [], [], []
         for k, text in enumerate(texts):
             s = word_shingles(text, hashes, p.width)
             if not len(s):
@@ -69,8 +69,9 @@ def children(batches: Iterator[pa.RecordBatch], roots: list[int] | None, p: Para
             nodes = np.unique(np.concatenate(found)).view(np.int64)
             if len(nodes):
                 out_doc.append(docs[k])
+                out_size.append(len(s))
                 out_nodes.append(nodes)
-        yield pa.RecordBatch.from_arrays([pa.array(out_doc, pa.int64()), pa.array(out_nodes, pa.list_(pa.int64()))], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.array(out_doc, pa.int64()), pa.array(out_size, pa.int64()), pa.array(out_nodes, pa.list_(pa.int64()))], schema=schema)
 
 
 def with_shingles(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -147,23 +148,29 @@ def brute_force(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterato
 def leaves_of(docs: DataFrame, reps: DataFrame, p: Params, scratch: Scratch) -> DataFrame:
     """(leaf, doc, n): the nodes at which sets are compared, of all runs."""
     roots = [int(x) for x in mix(np.arange(1, p.runs() + 1, dtype=np.uint64)).view(np.int64)]
-    kind = "doc long, nodes array<long>"
-    level = docs.mapInArrow(lambda it: children(it, roots, p), kind).join(reps, "doc", "left_semi").select("doc", F.explode("nodes").alias("leaf"))
+    kind = "doc long, size long, nodes array<long>"
+    level = docs.mapInArrow(lambda it: children(it, roots, p), kind).join(reps, "doc", "left_semi").select("doc", "size", F.explode("nodes").alias("leaf"))
     out = None
     for depth in range(1, p.max_depth + 1):
         level = scratch.table(level, "nodes")
-        sizes = level.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("doc")).alias("x1"), F.bit_xor(F.xxhash64("doc", F.lit(7))).alias("x2")).where("n > 1")
-        sizes = scratch.table(sizes, "sizes")
+        scratch.release_shuffles()
+        sizes = scratch.table(level.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
         done = sizes if depth == p.max_depth else sizes.where(F.col("n") <= p.leaf_rows)
-        found = level.join(done, "leaf")
+        found = level.join(done.select("leaf"), "leaf", "left_semi").select("leaf", "doc", "size")
         out = found if out is None else out.unionByName(found)
         if depth == p.max_depth or not sizes.where(F.col("n") > p.leaf_rows).limit(1).count():
             break
         hot = level.join(sizes.where(F.col("n") > p.leaf_rows).select("leaf"), "leaf", "left_semi").groupBy("doc").agg(F.collect_list("leaf").alias("nodes"))
-        level = docs.join(hot, "doc").mapInArrow(lambda it: children(it, None, p), kind).select("doc", F.explode("nodes").alias("leaf"))
+        level = docs.join(hot.hint("merge"), "doc").mapInArrow(lambda it: children(it, None, p), kind).select("doc", "size", F.explode("nodes").alias("leaf"))
+    # similar sets differ in size by at most the threshold: each leaf is cut by
+    # size steps of that ratio, and a set goes to its own and the next step
+    step = F.floor(F.log("size") / F.lit(-math.log(p.similarity) * (1 + 1e-9)))
+    cut = out.select("doc", F.explode(F.array(F.xxhash64("leaf", step), F.xxhash64("leaf", step + 1))).alias("leaf"))
+    cut = scratch.table(cut, "cut")
+    members = cut.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("doc")).alias("x1"), F.bit_xor(F.xxhash64("doc", F.lit(7))).alias("x2")).where("n > 1")
     # leaves with the same members hold the same pairs: keep one of them
-    one = out.select("leaf", "n", "x1", "x2").distinct().groupBy("n", "x1", "x2").agg(F.min("leaf").alias("leaf")).select("leaf")
-    return scratch.table(out.join(one, "leaf", "left_semi").select("leaf", "doc", "n"), "leaves")
+    one = members.groupBy("n", "x1", "x2").agg(F.min("leaf").alias("leaf")).select("leaf", "n")
+    return scratch.table(cut.join(one, "leaf").select("leaf", "doc", "n"), "leaves")
 
 
 def near_duplicates(docs: DataFrame, params: Params = Params()) -> DataFrame:
@@ -188,7 +195,9 @@ def near_duplicates(docs: DataFrame, params: Params = Params()) -> DataFrame:
     leaves = leaves_of(docs.where(has_word), reps, p, scratch)
 
     by_doc = leaves.groupBy("doc").agg(F.sort_array(F.collect_set("leaf")).alias("leaves"))
-    sets = docs.where(has_word).join(by_doc, "doc").dropDuplicates(["doc"]).mapInArrow(lambda it: with_shingles(it, p.width), "doc long, leaves array<long>, set binary")
+    scratch.release_shuffles()
+    # always by merge: this side grows with the documents
+    sets = docs.where(has_word).join(by_doc.hint("merge"), "doc").dropDuplicates(["doc"]).mapInArrow(lambda it: with_shingles(it, p.width), "doc long, leaves array<long>, set binary")
     big = leaves.where(F.col("n") > p.leaf_rows).select("leaf", "n").distinct()
     each = sets.select("*", F.explode("leaves").alias("leaf")).join(big, "leaf", "left")
     nb = F.coalesce(F.ceil(F.col("n") / p.leaf_rows).cast("int"), F.lit(1))
