@@ -21,6 +21,7 @@ Shape of the plans:
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -73,23 +74,63 @@ def family_rows(papers_scalar: DataFrame, aliases: DataFrame) -> DataFrame:
     return family_filter(papers_scalar, aliases).withColumn("substrate", substrate_normalize("substrate"))
 
 
+QUANTILE_BINS = 4096
+
+
+def value_counts(long: DataFrame) -> DataFrame:
+    """(family, metric, value, n): shuffled by value, so a frequent family is
+    spread and a frequent value is summed before the shuffle."""
+    return long.groupBy("family", "metric", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def exact_quantiles(counts: DataFrame, probs: list[float]) -> DataFrame:
+    """(family, metric, p, quantile) with linear interpolation.
+
+    Counts per equal-width bin (at most ``QUANTILE_BINS`` rows a group)
+    locate the bins that hold the wanted ranks; only the values of these
+    bins are ordered. The ranges are one row per family and metric.
+    """
+    keys = ["family", "metric"]
+    rng = F.broadcast(counts.groupBy(*keys).agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.sum("n").alias("total")))
+    at = F.floor((F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")) * QUANTILE_BINS)
+    binned = counts.join(rng, keys).withColumn("bin", F.when(F.col("hi") > F.col("lo"), F.least(at, F.lit(QUANTILE_BINS - 1))).otherwise(F.lit(0)))
+    by_bin = binned.groupBy(*keys, "bin", "total").agg(F.sum("n").alias("n"))
+    before = F.sum("n").over(W.partitionBy(*keys).orderBy("bin")) - F.col("n")
+    want = F.explode(F.array(*[F.struct(F.lit(p).alias("p"), (F.lit(p) * (F.col("total") - 1)).alias("h")) for p in probs]))
+    ranks = by_bin.withColumn("before", before).select("*", want.alias("w"))
+    ranks = ranks.select(*keys, "bin", "before", "n", F.col("w.p").alias("p"), F.col("w.h").alias("h"), F.explode(F.array(F.floor("w.h"), F.ceil("w.h"))).alias("rank")).distinct()
+    ranks = ranks.filter((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("n"))).drop("n")
+    wanted = F.broadcast(ranks)  # two rows per probability, family and metric
+    inside = binned.select(*keys, "bin", "value", "n").join(F.broadcast(ranks.select(*keys, "bin", "before").distinct()), [*keys, "bin"])
+    start = F.col("before") + F.sum("n").over(W.partitionBy(*keys, "bin").orderBy("value")) - F.col("n")
+    found = inside.withColumn("start", start).drop("before").join(wanted, [*keys, "bin"]).filter((F.col("rank") >= F.col("start")) & (F.col("rank") < F.col("start") + F.col("n")))
+    lo, hi = F.min_by("value", "rank"), F.max_by("value", "rank")
+    part = F.first(F.col("h") - F.floor("h"))
+    return found.groupBy(*keys, "p").agg((lo + part * (hi - lo)).alias("quantile"))
+
+
+def exact_modes(counts: DataFrame) -> DataFrame:
+    """(family, metric, mode): the smallest of the most frequent values."""
+    return counts.groupBy("family", "metric").agg(F.min(F.struct((-F.col("n")).alias("n"), "value")).alias("m")).select("family", "metric", F.col("m.value").alias("mode"))
+
+
 def consensus(family: DataFrame, exact: bool = True, metrics: list[str] = FAMILY_METRICS) -> DataFrame:
     """Per family the paper count, mean / median / mode / min /
-    max of each metric and the top substrate."""
+    max of each metric and the top substrate. ``exact`` false: sketches of a
+    fixed size for median and mode."""
     aggs = [F.count(F.lit(1)).alias("n_papers")]
     for m in metrics:
-        med = F.median(m) if exact else F.percentile_approx(m, 0.5, 10000)
-        aggs += [
-            F.avg(m).alias(f"{m}_mean"),
-            med.alias(f"{m}_median"),
-            # exact: smallest of the most frequent values (the buffer holds the
-            # distinct values of a group); approximate: a fixed-size frequent-items sketch
-            (F.mode(F.col(m), True) if exact else F.expr(f"approx_top_k(`{m}`, 1)")[0]["item"]).alias(f"{m}_mode"),
-            F.min(m).alias(f"{m}_min"),
-            F.max(m).alias(f"{m}_max"),
-        ]
-    aggs.append(F.coalesce(F.mode(F.col("substrate"), True), F.lit(K.NO_DATA)).alias("top_substrate"))
-    return family.groupBy("family").agg(*aggs)
+        aggs += [F.avg(m).alias(f"{m}_mean"), F.min(m).alias(f"{m}_min"), F.max(m).alias(f"{m}_max")]
+        if not exact:
+            aggs += [F.percentile_approx(m, 0.5, 10000).alias(f"{m}_median"), F.expr(f"approx_top_k(`{m}`, 1)")[0]["item"].alias(f"{m}_mode")]
+    out = family.groupBy("family").agg(*aggs)
+    if exact:
+        counts = value_counts(family_long(family, metrics))
+        both = exact_quantiles(counts, [0.5]).join(exact_modes(counts), ["family", "metric"])
+        wide = both.groupBy("family").pivot("metric", metrics).agg(F.first("quantile").alias("median"), F.first("mode").alias("mode"))
+        out = out.join(wide, "family", "left")
+    out = out.join(top_substrate(family), "family", "left")
+    return out.select("family", "n_papers", *[f"{m}_{s}" for m in metrics for s in ("mean", "median", "mode", "min", "max")], "top_substrate")
 
 
 def consensus_display(cons: DataFrame) -> DataFrame:
@@ -112,9 +153,9 @@ def consensus_display(cons: DataFrame) -> DataFrame:
 
 def top_substrate(family: DataFrame) -> DataFrame:
     """Most common normalised substrate per family, else 'No Data'."""
-    return family.groupBy("family").agg(
-        F.coalesce(F.mode(F.col("substrate"), True), F.lit(K.NO_DATA)).alias("top_substrate")
-    )
+    counts = family.groupBy("family", "substrate").agg(F.count("substrate").alias("n"))  # 0 for the null substrate
+    first = F.min(F.struct((-F.col("n")).alias("n"), "substrate")).alias("m")
+    return counts.groupBy("family").agg(first).select("family", F.coalesce("m.substrate", F.lit(K.NO_DATA)).alias("top_substrate"))
 
 
 def substrate_counts(family: DataFrame) -> DataFrame:
@@ -171,9 +212,9 @@ def histogram(values: DataFrame, n_bins: int, keys: list[str] | None = None,
     lo, hi = _widen(F.col("lo"), F.col("hi"))
     # a global aggregate of empty input is one all-null row: drop it
     rng = rng.filter(F.col("lo").isNotNull()).select(*keys, lo.alias("lo"), hi.alias("hi"))
-    # Without keys the range is one row: broadcast by construction. With keys
-    # it is one row per group, so AQE decides from the measured size.
-    joined = v.join(rng, on=keys, how="inner") if keys else v.crossJoin(F.broadcast(rng))
+    # The ranges are one row per key group (callers group by family and
+    # metric: no more rows than the alias table has, times the metrics).
+    joined = v.join(F.broadcast(rng), on=keys, how="inner") if keys else v.crossJoin(F.broadcast(rng))
     counts = joined.groupBy(*keys, _bin_of(F.col(value), F.col("lo"), F.col("hi"), n_bins).alias("bin")).agg(
         F.sum(w).cast("bigint").alias("count")
     )
@@ -232,14 +273,14 @@ def family_histogram(family: DataFrame, n_bins: int = K.DASHBOARD_BINS) -> DataF
 
 def box_quartiles(family: DataFrame, exact: bool = True) -> DataFrame:
     """D3: quartiles per (family, metric) (linear interpolation)."""
-    p = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-    q = F.percentile(F.col("value"), p) if exact else F.percentile_approx(F.col("value"), p, 10000)
-    return (
-        family_long(family)
-        .groupBy("family", "metric")
-        .agg(F.count(F.lit(1)).alias("n"), q.alias("_q"))
-        .select("family", "metric", "n", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"))
-    )
+    names = {0.25: "q1", 0.5: "median", 0.75: "q3"}
+    long = family_long(family)
+    if not exact:
+        q = F.percentile_approx(F.col("value"), F.array(*[F.lit(p) for p in names]), 10000).alias("_q")
+        return long.groupBy("family", "metric").agg(F.count(F.lit(1)).alias("n"), q).select("family", "metric", "n", *[F.col("_q")[k].alias(x) for k, x in enumerate(names.values())])
+    counts = value_counts(long)
+    q = exact_quantiles(counts, list(names)).groupBy("family", "metric").agg(*[F.max(F.when(F.col("p") == p, F.col("quantile"))).alias(x) for p, x in names.items()])
+    return counts.groupBy("family", "metric").agg(F.sum("n").alias("n")).join(q, ["family", "metric"]).select("family", "metric", "n", *names.values())
 
 
 def outlier_fence(family: DataFrame, k: float = 1.5, exact: bool = True) -> DataFrame:
@@ -249,7 +290,7 @@ def outlier_fence(family: DataFrame, k: float = 1.5, exact: bool = True) -> Data
     iqr = F.col("q3") - F.col("q1")
     return (
         family_long(family)
-        .join(q, on=["family", "metric"])  # one row per (family, metric): AQE broadcasts it by measured size
+        .join(F.broadcast(q), on=["family", "metric"])  # one row per family and metric
         .filter((F.col("value") >= F.col("q1") - k * iqr) & (F.col("value") <= F.col("q3") + k * iqr))
         .select("family", "metric", "paper_id", "value")
     )
