@@ -54,7 +54,7 @@ class Params:
     sample_docs: int = 1_000  # bound of the dictionary's training sample
     sample_bytes: int = 16 << 10
     block_bytes: int = 1 << 20  # compressed bytes of a block
-    cache: int = 400_000  # remembered pieces of a task
+    cache: int = 250_000  # remembered pieces of a task
 
 
 ODD_SPACE = re.compile(r" (?=\s)|\s(?= )")
@@ -62,7 +62,12 @@ CUT = re.compile(r"(?<=\S)(?= \S)")
 
 
 class Encoder:
-    """Text -> ids, by the tokenizers library, one distinct piece at a time."""
+    """Text -> ids, by the tokenizers library, one distinct piece at a time.
+
+    Pieces after the first are kept without their blank. New ones are encoded
+    joined together, many in one call: each begins with a blank and holds no
+    other, so the tokens that begin with a blank are where pieces begin.
+    """
 
     def __init__(self, spec: str, cache: int):
         import os
@@ -72,35 +77,63 @@ class Encoder:
 
         self.tok = Tokenizer.from_str(spec)
         self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.cache, self.known = cache, {}
+        self.blank = np.zeros(max(self.tok.get_vocab().values()) + 1, dtype=bool)
+        self.blank[[i for t, i in self.tok.get_vocab().items() if t.startswith("\u0120")]] = True  # the byte-level sign of a blank
+        self.cache, self.known, self.heads = cache, {}, {}
 
     def pieces(self, text: str) -> list[str]:
+        """The first piece, then the others without their blank."""
         if any(t in text for t in self.added):
             return [text]
         if ODD_SPACE.search(text):
-            return CUT.split(text)
-        first, *rest = text.split(" ")
-        return ([first] if first else []) + [" " + x for x in rest]
-
-    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
+            first, *rest = CUT.split(text)
+            return [first, *[x[1:] for x in rest]]
+        return text.split(" ")
+
+    def one_by_one(self, texts: list[str]) -> Iterator[bytes]:
+        for e in self.tok.encode_batch_fast(texts, add_special_tokens=False):
+            yield np.array(e.ids, dtype="<u4").tobytes()
+
+    def learn(self, new: list[str]) -> None:
+        plain, odd = [], []
+        for x in new:
+            (plain if x and " " not in x and not x[0].isspace() and not x[-1].isspace() else odd).append(x)
+        groups = [plain[k : k + 500] for k in range(0, len(plain), 500)]
+        for group, e in zip(groups, self.tok.encode_batch_fast(["".join([" " + x for x in g]) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, dtype="<u4")
+            at = (np.flatnonzero(self.blank[ids]) * 4).tolist()
+            if len(at) != len(group) or at[0]:
+                odd.extend(group)
+                continue
+            raw = ids.tobytes()
+            self.known.update(zip(group, [raw[i:j] for i, j in zip(at, [*at[1:], len(raw)], strict=True)], strict=True))
+        self.known.update(zip(odd, self.one_by_one([" " + x for x in odd]), strict=True))
+
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
         """In slices, so that pieces in use are never more than a slice's."""
-        for lo in range(0, len(texts), 64):
-            split = [self.pieces(t) if t else [] for t in texts[lo : lo + 64]]
+        for lo in range(0, len(texts), 128):
+            split = [self.pieces(t) if t else [""] for t in texts[lo : lo + 128]]
             if len(self.known) > self.cache:
                 self.known.clear()
-            known = self.known
-            new = list({x for parts in split for x in parts if x not in known})
-            for x, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[x] = np.array(e.ids, dtype="<u4").tobytes()
-            for parts in split:
-                yield np.frombuffer(b"".join([known[x] for x in parts]), dtype="<u4")
+                self.heads.clear()
+            heads = [p[0] for p in split]
+            rest = [p[1:] for p in split]
+            new = list({h for h in heads if h and h not in self.heads})
+            self.heads.update(zip(new, self.one_by_one(new), strict=True))
+            self.heads[""] = b""
+            self.learn(list(set().union(*rest) - self.known.keys()))
+            get = self.known.__getitem__
+            for h, r in zip(heads, rest, strict=True):
+                yield self.heads[h] + b"".join(map(get, r))
 
 
 def encoded(batches: Iterator[pa.RecordBatch], spec: str, p: Params) -> Iterator[tuple[int | None, bytes]]:
     enc = Encoder(spec, p.cache)
     end = np.array([p.end_id], dtype="<u4").tobytes()
-    for batch in batches:
-        yield from zip(batch.column("doc_id").to_pylist(), (x.tobytes() + end for x in enc.encode(batch.column("text").to_pylist())), strict=True)
+    for whole in batches:
+        for lo in range(0, whole.num_rows, 512):
+            batch = whole.slice(lo, 512)
+            yield from zip(batch.column("doc_id").to_pylist(), (x + end for x in enc.encode(batch.column("text").to_pylist())), strict=True)
 
 
 def train_dictionary(docs: DataFrame, spec: str, p: Params) -> bytes:
