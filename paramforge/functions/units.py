@@ -3,8 +3,8 @@
 Every function maps a string Column to an ``array<double>`` Column:
 null when nothing was recognised, otherwise the recognised values in
 text order. No Python runs per row: each is a ``transform``/``filter``
-over the ``split`` parts, so the whole thing stays inside whole-stage
-codegen.
+over the ``split`` parts (evaluated in the JVM; Spark interprets array
+lambdas, it does not generate code for them).
 
 Per part the rules are: lower-case the field, split it (C1), drop
 U+0020 blanks only, take the first regex match of the part, skip the
