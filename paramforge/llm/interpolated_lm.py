@@ -97,24 +97,30 @@ class Chunk:
 ASK = "part int, chunk int, keys binary, counts binary"
 
 
-def ask(chunk: int, keys: np.ndarray, counts: np.ndarray, parts: int) -> pd.DataFrame:
-    """Questions by partition of the key's hash; keys stay ascending."""
+def by_part(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places of the keys ordered by partition of their hash, its bounds)."""
     part = (mix(keys) % np.uint64(parts)).astype(np.int64)
     order = np.argsort(part, kind="stable")
-    cuts = np.searchsorted(part[order], np.arange(parts + 1))
+    return order, np.searchsorted(part[order], np.arange(parts + 1))
+
+
+def ask(chunk: int, keys: np.ndarray, counts: np.ndarray, parts: int) -> pd.DataFrame:
+    """Questions by partition of the key's hash; keys stay ascending."""
+    order, cuts = by_part(keys, parts)
     rows = [(p, chunk, keys[o].tobytes(), counts[o].astype("<u4").tobytes()) for p in range(parts) if len(o := order[cuts[p] : cuts[p + 1]])]
     return pd.DataFrame(rows, columns=["part", "chunk", "keys", "counts"])
 
 
 def answer(asked: pd.DataFrame) -> pd.DataFrame:
-    """The sum of each key's counts over all chunks, back to each chunk."""
+    """The sum of each key's counts over all chunks, back to each chunk in the
+    order it asked; it can tell its keys again, so they are not sent back."""
     keys = [np.frombuffer(k, dtype=np.uint64) for k in asked["keys"]]
     all_keys = np.concatenate(keys)
     distinct, at = np.unique(all_keys, return_inverse=True)
     total = np.bincount(at, weights=np.concatenate([np.frombuffer(c, dtype="<u4") for c in asked["counts"]]), minlength=len(distinct)).astype(np.int64)
     sole = np.bincount(at, minlength=len(distinct)) == 1
     cuts = np.cumsum([len(k) for k in keys])[:-1]
-    back = pd.DataFrame({"part": asked["part"], "chunk": asked["chunk"], "keys": asked["keys"]})
+    back = pd.DataFrame({"part": asked["part"], "chunk": asked["chunk"]})
     back["counts"] = [narrow(x) for x in np.split(total[at], cuts)]
     back["sole"] = [np.packbits(x).tobytes() for x in np.split(sole[at], cuts)]
     back["distinct"] = [int((total > 0).sum())] + [0] * (len(back) - 1)
@@ -130,14 +136,14 @@ def widened(raw: bytes, n: int) -> np.ndarray:
     return np.frombuffer(raw, dtype=f"<u{len(raw) // n}").astype(np.int64) if n else np.zeros(0, dtype=np.int64)
 
 
-def told(answers: list | None, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(counts, asked by no other chunk) in the order of ``keys`` (ascending, all asked for)."""
+def told(answers: list | None, keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """(counts, asked by no other chunk) in the order of the asked ``keys``."""
     out, sole = np.zeros(len(keys), dtype=np.int64), np.zeros(len(keys), dtype=bool)
+    order, cuts = by_part(keys, parts)
     for r in answers if answers is not None else ():
-        k = np.frombuffer(r["keys"], dtype=np.uint64)
-        at = np.searchsorted(keys, k)
-        out[at] = widened(r["counts"], len(k))
-        sole[at] = np.unpackbits(np.frombuffer(r["sole"], dtype=np.uint8), count=len(k)).astype(bool)
+        at = order[cuts[r["part"]] : cuts[r["part"] + 1]]
+        out[at] = widened(r["counts"], len(at))
+        sole[at] = np.unpackbits(np.frombuffer(r["sole"], dtype=np.uint8), count=len(at)).astype(bool)
     return out, sole
 
 
@@ -195,18 +201,18 @@ def scores(docs: DataFrame, params: Params = Params()) -> DataFrame:
         c = Chunk.of(pdf["text"].tolist(), pdf["held"].to_numpy(dtype=bool))
         return ask(int(pdf["chunk"].iloc[0]), c.words, c.word_counts(), parts)
 
-    kind = ASK + ", sole binary, distinct long"
+    kind = "part int, chunk int, counts binary, sole binary, distinct long"
     words = scratch.table(rows.groupBy("chunk").applyInPandas(ask_words, ASK).groupBy("part").applyInPandas(answer, kind), "words")
     scratch.release_shuffles()
     numbers = words.agg(F.sum("distinct")).first()
     vocabulary = int(numbers[0] or 0)
 
     def lists(table: DataFrame, name: str) -> DataFrame:
-        return table.groupBy("chunk").agg(F.collect_list(F.struct("keys", "counts", "sole")).alias(name))
+        return table.groupBy("chunk").agg(F.collect_list(F.struct("part", "counts", "sole")).alias(name))
 
     def of_chunk(pdf: pd.DataFrame, replies: pd.DataFrame) -> tuple[Chunk, np.ndarray, np.ndarray]:
         c = Chunk.of(pdf["text"].tolist(), pdf["held"].to_numpy(dtype=bool))
-        return c, *told(replies["words"].iloc[0], c.words)
+        return c, *told(replies["words"].iloc[0], c.words, parts)
 
     def ask_pairs(pdf: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
         if not len(pdf):
@@ -229,7 +235,7 @@ def scores(docs: DataFrame, params: Params = Params()) -> DataFrame:
         pair, at, count = c.pairs()
         wanted = ~known_pairs(c, at, len(pair), sole)
         count = count.astype(np.int64)
-        count[wanted] = told(replies["pairs"].iloc[0], pair[wanted])[0]
+        count[wanted] = told(replies["pairs"].iloc[0], pair[wanted], parts)[0]
         ends = np.flatnonzero(np.diff(c.doc)) + 1
         split = lambda x: [narrow(a) for a in np.split(x, ends)]
         return pd.DataFrame({"doc_id": pdf["doc_id"], "held": pdf["held"], "n": np.bincount(c.doc), "c2": split(count[at]), "c": split(total[c.code])})
