@@ -161,8 +161,8 @@ FAMILY_ALIASES = [
 # FIXED VALUES — text templates of the hand-off tables
 # ---------------------------------------------------------------------------
 EXTRACTION_REQUEST_TEMPLATE = """
-    You are an expert materials scientist specializing in thin film deposition and sputtering.
-    Read the provided text and extract the following parameters.
+    You are an expert materials scientist specializing in thin film deposition and sputtering. 
+    Read the provided text and extract the following parameters. 
     Return ONLY a valid JSON object with these exact keys. Do not include any markdown formatting or extra text.
     If a parameter is not mentioned in the text, assign its value as "Not specified".
 
@@ -171,9 +171,9 @@ EXTRACTION_REQUEST_TEMPLATE = """
     - "Substrate"
     - "Deposition_Method"
     - "Target"
-    - "Power"
-    - "Gas_Mixture"
-    - "Working_Pressure"
+    - "Power" 
+    - "Gas_Mixture" 
+    - "Working_Pressure" 
     - "Base_Pressure"
     - "Temperature"
     - "Film_Thickness"
@@ -182,12 +182,19 @@ EXTRACTION_REQUEST_TEMPLATE = """
     {text}
     """
 
+FAMILY_REQUEST_TEMPLATE = """
+                The user is researching the thin film material: '{family}'. 
+                Here is a list of raw material names found in our database: {names}
+                Which of these raw names belong to the '{family}' family? (Include alternate chemical formulas and obvious typos).
+                Return ONLY a comma-separated list of the exact matching strings from the list. Do not write any other text.
+                """
+
 ANSWER_REQUEST_TEMPLATE = """
                 You are an expert materials science AI assistant helping an engineering student with their Undergraduate Project (UGP).
                 Your goal is to answer the user's question using ONLY the provided Database Context.
 
                 CRITICAL RULES:
-                1. NEVER guess, hallucinate, or bring in outside knowledge.
+                1. NEVER guess, hallucinate, or bring in outside knowledge. 
                 2. ALWAYS state the exact numerical parameters.
                 3. MISSING DATA: If a parameter's value says "Not specified", "NaN", or "None", completely omit it.
                 4. AGGREGATION GUARDRAIL (IMPORTANT): If the user asks for statistics, counting, averages, "most common", or "maximum" usage across the database, you MUST refuse to answer. Reply with: *"I am the Micro-Retrieval bot for specific paper queries. For dataset-wide statistics (like most common methods or averages), please use the 'Macro View (Tab 1)'."*

@@ -526,6 +526,11 @@ def q_retrieved_materials(spark, sf_dir):
     return R.retrieved_materials(family_hits(spark, sf_dir, K.MACRO_K))
 
 
+@query("family_request")
+def q_family_request(spark, sf_dir):
+    return R.family_request(R.retrieved_materials(family_hits(spark, sf_dir, K.MACRO_K)))
+
+
 @query("family_alias")
 def q_family_alias(spark, sf_dir):
     return R.family_alias(R.retrieved_materials(family_hits(spark, sf_dir, K.MACRO_K)))
@@ -533,7 +538,7 @@ def q_family_alias(spark, sf_dir):
 
 @query("alias_parse")
 def q_alias_parse(spark, sf_dir):
-    conv = read_table(spark, sf_dir, "conversations").filter(F.col("role") == "assistant")
+    conv = read_table(spark, sf_dir, "conversations")
     return R.alias_parse(conv, "text", ["conv_id", "turn"])
 
 

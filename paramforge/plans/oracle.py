@@ -598,6 +598,9 @@ SELECT label, CAST(rank AS INTEGER) AS rank, vec_id, round(distance, 6) AS dista
 WHERE rank <= {K.MICRO_K}""", base=False)
 
 reg("retrieved_materials", family_hits_cte(K.MACRO_K) + "SELECT DISTINCT query, material FROM hits")
+_request = K.FAMILY_REQUEST_TEMPLATE.replace("{names}", "\0names\0").replace("{family}", "\0family\0").split("\0")
+_names = "'[' || string_agg(DISTINCT chr(39) || material || chr(39), ', ' ORDER BY chr(39) || material || chr(39)) || ']'"
+reg("family_request", family_hits_cte(K.MACRO_K) + f"SELECT query, {' || '.join({'family': 'query', 'names': 'names'}.get(x, lit(x)) for x in _request)} AS request FROM (SELECT query, {_names} AS names FROM hits GROUP BY query)")
 NORM = lambda x: f"regexp_replace(lower({x}), '[^\\p{{L}}\\p{{N}}]', '', 'g')"
 reg("family_alias", family_hits_cte(K.MACRO_K) + f"""
 SELECT query AS family, material FROM (SELECT DISTINCT query, material FROM hits)
@@ -606,7 +609,7 @@ WHERE {NORM('material')} = {NORM('query')} OR starts_with({NORM('material')}, {N
 reg("alias_parse", f"""
 SELECT conv_id, turn, CAST(pos AS INTEGER) AS pos, {py_strip('n')} AS name FROM (
   SELECT conv_id, turn, unnest(range(len(l))) AS pos, unnest(l) AS n
-  FROM (SELECT conv_id, turn, string_split(text, ',') AS l FROM conversations WHERE role = 'assistant'))""", base=False)
+  FROM (SELECT conv_id, turn, string_split(text, ',') AS l FROM conversations))""", base=False)
 
 CTX = "SELECT query, CAST(count(*) AS INTEGER) AS n_docs, string_agg(document, chr(10) || chr(10) ORDER BY rank) AS context FROM hits GROUP BY query"
 reg("rag_context", family_hits_cte(K.MICRO_K) + CTX)
