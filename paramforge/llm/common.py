@@ -3,6 +3,8 @@ row plumbing that keeps foreign column names out of the way."""
 
 from __future__ import annotations
 
+import gc
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,11 +44,12 @@ class Scratch:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
     def release_shuffles(self) -> None:
-        """Unreferenced shuffle files go when the driver collects garbage."""
-        import gc
-
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        """Unreferenced shuffle files go when the driver collects garbage:
+        once for what Python still held, and again for what that held."""
+        for _ in range(2):
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
+            time.sleep(0.5)
 
 
 def nested(docs: DataFrame, *names: str) -> DataFrame:
