@@ -146,10 +146,11 @@ def brute_force(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterato
 
 
 def leaves_of(docs: DataFrame, reps: DataFrame, p: Params, scratch: Scratch) -> DataFrame:
-    """(leaf, doc, n): the nodes at which sets are compared, of all runs."""
+    """(leaf, doc, n): the nodes at which sets are compared, of all runs.
+    A doc is counted once in each node, however often its row is repeated."""
     roots = [int(x) for x in mix(np.arange(1, p.runs() + 1, dtype=np.uint64)).view(np.int64)]
     kind = "doc long, size long, nodes array<long>"
-    level = docs.mapInArrow(lambda it: children(it, roots, p), kind).join(reps, "doc", "left_semi").select("doc", "size", F.explode("nodes").alias("leaf"))
+    level = docs.mapInArrow(lambda it: children(it, roots, p), kind).join(reps, "doc", "left_semi").dropDuplicates(["doc"]).select("doc", "size", F.explode("nodes").alias("leaf"))
     out = None
     for depth in range(1, p.max_depth + 1):
         level = scratch.table(level, "nodes")
@@ -161,13 +162,13 @@ def leaves_of(docs: DataFrame, reps: DataFrame, p: Params, scratch: Scratch) ->
         if depth == p.max_depth or not sizes.where(F.col("n") > p.leaf_rows).limit(1).count():
             break
         hot = level.join(sizes.where(F.col("n") > p.leaf_rows).select("leaf"), "leaf", "left_semi").groupBy("doc").agg(F.collect_list("leaf").alias("nodes"))
-        level = docs.join(hot.hint("merge"), "doc").mapInArrow(lambda it: children(it, None, p), kind).select("doc", "size", F.explode("nodes").alias("leaf"))
+        level = docs.join(hot.hint("merge"), "doc").mapInArrow(lambda it: children(it, None, p), kind).dropDuplicates(["doc"]).select("doc", "size", F.explode("nodes").alias("leaf"))
     # similar sets differ in size by at most the threshold: each leaf is cut by
     # size steps of that ratio, and a set goes to its own and the next step
     step = F.floor(F.log("size") / F.lit(-math.log(p.similarity) * (1 + 1e-9)))
     cut = out.select("doc", F.explode(F.array(F.xxhash64("leaf", step), F.xxhash64("leaf", step + 1))).alias("leaf"))
     cut = scratch.table(cut, "cut")
-    members = cut.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("doc")).alias("x1"), F.bit_xor(F.xxhash64("doc", F.lit(7))).alias("x2")).where("n > 1")
+    members = cut.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("doc")).alias("x1"), F.sum(F.shiftrightunsigned(F.xxhash64("doc", F.lit(7)), 32)).alias("x2")).where("n > 1")
     # leaves with the same members hold the same pairs: keep one of them
     one = members.groupBy("n", "x1", "x2").agg(F.min("leaf").alias("leaf")).select("leaf", "n")
     return scratch.table(cut.join(one, "leaf").select("leaf", "doc", "n"), "leaves")

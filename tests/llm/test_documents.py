@@ -118,6 +118,16 @@ def test_chosen_path(docs, empty, corpus):
     assert sum(links.values()) and chosen_path.near_duplicates(empty).count() == 0
 
 
+def test_chosen_path_repeated_rows(docs):
+    """Every row twice, as in the union of two crawls: the same links."""
+    key = lambda r: (str(r.doc_id), r.class_id, r.copy_of, r.n_links)
+    for p in (chosen_path.Params(), chosen_path.Params(leaf_rows=2)):
+        once = {key(r) for r in chosen_path.near_duplicates(docs, p).collect()}
+        twice = chosen_path.near_duplicates(docs.unionByName(docs), p).collect()
+        assert {key(r) for r in twice} == once and len(twice) == 2 * docs.count()
+    assert sum(n > 0 for *_, n in once) > 4
+
+
 # 5
 def test_pieces(docs, empty, corpus):
     model = tokenizer_path("piece_bpe_32k.model")
