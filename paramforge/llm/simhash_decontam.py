@@ -7,10 +7,12 @@ at least one block, so joining on (item size, block number, block value)
 finds all of them. Candidates within the radius are then verified by the
 exact weighted Jaccard similarity of the shingles.
 
-Windows are laid where they can reach the similarity at all: at every place
-where a shingle of an item occurs in the document, aligned to its place in
-the item (a window that shares no shingle has similarity 0). This is an
-equi-join of all shingles of all documents, exact and without a limit.
+Windows are laid wherever they can reach the similarity at all. That takes
+shingles in common of at least ``similarity`` times the item's weight, so a
+document and an item are paired if the whole document holds as much, and of
+the windows that hold a common shingle, at any place in it, those are laid
+that do. This is an equi-join of all shingles of all documents, exact and
+without a limit. A document with fewer words than an item is one window.
 
 Weights are ``1 + round(4 * ln(items / items with the shingle))``: shingles
 that many items share count little; a shingle in no item counts like one in
@@ -90,7 +92,7 @@ def item_shingles(items: DataFrame, p: Params, scratch: Scratch) -> tuple[DataFr
 def matches(docs: DataFrame, items: DataFrame, params: Params = Params()) -> DataFrame:
     """doc_id, item_id, start_word, n_words, hamming, similarity: the best
     window (most similar, then first) of each document and item that reaches
-    the similarity.
+    the similarity. ``n_words`` are the item's; a window ends with its text.
 
     Documents (doc_id, text) and items (item_id, text) without an id or a
     word match nothing; an item of fewer than five words is one shingle of
@@ -116,8 +118,23 @@ def matches(docs: DataFrame, items: DataFrame, params: Params = Params()) -> Dat
     if hits is None:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, start_word int, n_words int, hamming int, similarity double")
     hits = scratch.table(hits, "hits")
-    places = hits.join(item_rows, "h").withColumn("start", F.col("at") - F.col("q")).where("start >= 0 and start + n_words <= size")
-    windows = scratch.table(places.select("doc", "start", "n_words").distinct(), "windows")
+    item_grams = item_rows.groupBy("item", "n_words", "h").agg(F.count(F.lit(1)).alias("n"))
+    known = item_grams.withColumnRenamed("n", "m").join(weights, "h")
+    least = known.groupBy("item").agg((F.lit(p.similarity) * F.sum(F.col("weight") * F.col("m")) - F.lit(1e-6)).alias("need"))
+    known = scratch.table(known.join(least, "item"), "known")
+    common = F.sum(F.col("weight") * F.least("n", "m"))
+
+    # pairs of document and item, then their windows, that share enough weight
+    in_doc = hits.groupBy("doc", "size", "h").agg(F.count(F.lit(1)).alias("n"))
+    pairs = in_doc.join(known, "h").groupBy("doc", "size", "item", "need").agg(common.alias("common")).where("common >= need")
+    pairs = scratch.table(pairs.select("doc", "size", "item"), "pairs")
+    length = F.least("n_words", "size")  # of the window
+    first = F.greatest(F.lit(0), F.col("at") - length + F.least("n_words", F.lit(p.width)))
+    starts = F.sequence(first, F.least(F.col("at"), F.col("size") - length))
+    placed = hits.join(known, "h").join(pairs, ["doc", "size", "item"]).withColumn("start", F.explode(starts))
+    placed = placed.groupBy("doc", "start", "n_words", "item", "need", "h", "weight", "m").agg(F.count(F.lit(1)).alias("n"))
+    laid = placed.groupBy("doc", "start", "n_words", "item", "need").agg(common.alias("common")).where("common >= need")
+    windows = scratch.table(laid.select("doc", "start", "n_words").distinct(), "windows")
 
     # shingles of the windows, cut out of the texts again
     by_doc = windows.groupBy("doc").agg(F.collect_list(F.struct("start", "n_words")).alias("spans"))
@@ -125,7 +142,6 @@ def matches(docs: DataFrame, items: DataFrame, params: Params = Params()) -> Dat
     cut = cut.select("doc", F.explode(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["n_words"].alias("n_words"), F.slice(F.col("w"), s["start"] + 1, s["n_words"]).alias("w")))).alias("s")).select("doc", "s.*")
     grams = cut.select("doc", "start", "n_words", F.explode(shingles(F.col("w"), p.width)).alias("h")).groupBy("doc", "start", "n_words", "h").agg(F.count(F.lit(1)).alias("n"))
     grams = scratch.table(grams, "grams")
-    item_grams = item_rows.groupBy("item", "n_words", "h").agg(F.count(F.lit(1)).alias("n"))
 
     left = fingerprints(grams, ["doc", "start", "n_words"], weights, unseen)
     right = fingerprints(item_grams, ["item", "n_words"], weights, unseen).withColumnsRenamed({"simhash": "item_hash", "total": "item_total"})

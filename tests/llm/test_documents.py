@@ -184,6 +184,38 @@ def test_simhash_decontamination(spark, docs, empty, corpus):
     assert simhash_decontam.matches(empty, table).count() == 0 and simhash_decontam.matches(docs, table.limit(0)).count() == 0
 
 
+def test_simhash_all_windows(spark):
+    """Against all windows: items that run over the edges of a text, texts
+    shorter than the item, words put into the middle."""
+    word = lambda d, i: f"w{d}x{i}"
+    lists = {d: [word(d, i) for i in range(55)] for d in range(6)}
+    other = [word(9, i) for i in range(200)]
+    texts = {
+        0: lists[0][2:] + other[:60],  # without its first two words, at the start of the text
+        1: other[:60] + lists[1][:-2],  # without its last two, at the end
+        2: lists[2][:-1],  # the whole text lacks a word of the item
+        3: other[:30] + lists[3][:28] + other[90:92] + lists[3][28:] + other[100:130],
+        4: lists[4][:20],  # too little
+        5: other[:7] + lists[5] + other[7:9],
+        6: lists[2][1:-1] + lists[5][3:],
+    }
+    docs = spark.createDataFrame([(d, " ".join(w)) for d, w in texts.items()] * 2, "doc_id long, text string")
+    items = spark.createDataFrame([(i, " ".join(w)) for i, w in lists.items()], "item_id long, text string")
+    grams = lambda w: [tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))]
+    weight = 1 + round(4 * math.log(len(lists)))  # no shingle is in two items
+    expected = {}
+    for d, w in texts.items():
+        for i, item in lists.items():
+            for s in range(max(1, len(w) - len(item) + 1)):
+                a, b = collections.Counter(grams(w[s : s + len(item)])), collections.Counter(grams(item))
+                sim = weight * sum((a & b).values()) / (weight * sum((a | b).values()))
+                if sim >= 0.8 and (sim, -s) > expected.get((d, i), (0, 0)):
+                    expected[d, i] = (sim, -s)
+    assert {(0, 0), (1, 1), (2, 2), (5, 5)} <= expected.keys()
+    got = {(r.doc_id, r.item_id): (r.similarity, -r.start_word) for r in simhash_decontam.matches(docs, items).collect()}
+    assert got.keys() == expected.keys() and all(abs(got[k][0] - expected[k][0]) < 1e-5 and got[k][1] == expected[k][1] for k in got)
+
+
 # 7
 def test_rule_classifier(spark, empty):
     rows = [(k, (f"good words {k} are here and there and so on " * 6) if k % 3 else ("BAD!! " * 40 + str(k))) for k in range(120)] + [(None, None), (500, "")]
