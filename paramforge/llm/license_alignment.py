@@ -9,8 +9,11 @@ coverage of a template is the share of its words that are aligned.
 A text may hold a notice many times and anywhere, so the whole text is first
 cut into places: runs of template words with at most ``max_gap`` other words
 between them, cut again where the place in the template falls back (the next
-copy begins). A place whose words cannot reach the coverage even without
-regard to order is not aligned; this is exact. Templates are a parameter.
+copy begins). Places only seed: those that hold three template words in a
+row are joined, over any distance, as long as their places in the template
+do not fall back, and aligned as one stretch. A place or stretch whose words
+cannot reach the coverage even without regard to order is not aligned; this
+is exact. Templates are a parameter.
 """
 
 from __future__ import annotations
@@ -42,7 +45,7 @@ TEMPLATES = {
 @dataclass(frozen=True)
 class Params:
     coverage: float = 0.8
-    max_gap: int = 8  # other words inside a place
+    max_gap: int = 8  # other words inside a place; places are joined over any gap
 
 
 EDGES = re.compile(r"^\W+|\W+$")
@@ -124,6 +127,21 @@ def places(words: list[str], hits: list[int], template: list[str], max_gap: int)
         yield start, last + 1
 
 
+def copies(words: list[str], seeds: list[tuple[int, int]], template: list[str]) -> Iterator[list[tuple[int, int]]]:
+    """The seeds of one copy each: a copy ends where the template falls back."""
+    once = {w: k for k, w in enumerate(template) if template.count(w) == 1}
+    group, far = [], -1
+    for start, end in seeds:
+        at = [once[w] for w in words[start:end] if w in once]
+        if group and at and far - at[0] > len(template) / 2:
+            yield group
+            group, far = [], -1
+        group.append((start, end))
+        far = max([far, *at])
+    if group:
+        yield group
+
+
 class Scanner:
     def __init__(self, templates: dict[str, str], p: Params):
         self.p = p
@@ -152,15 +170,45 @@ class Scanner:
             need = self.p.coverage * len(template) - 1e-9
             if sum(n for w, n in count.items() if w in present) < need:
                 continue
-            for start, end in places(words, [i for i in hits if words[i] in vocabulary], template, self.p.max_gap):
-                here = words[start:end]
-                if sum((Counter(here) & count).values()) < need:
-                    continue
-                got = align(here, template)
-                if len(got) >= need:
-                    found.append((name, len(got) / len(template), len(got), start + got[0][0], start + got[-1][0] + 1))
+            found.extend((name, len(got) / len(template), len(got), got[0][0], got[-1][0] + 1) for got in self.notices(words, [i for i in hits if words[i] in vocabulary], template, count, need))
         return sorted(found, key=lambda f: (f[3], f[0]))
 
+    def notices(self, words: list[str], hits: list[int], template: list[str], count: Counter, need: float) -> Iterator[list[tuple[int, int]]]:
+        """The alignments, (place in words, place in template), that reach the need."""
+
+        def aligned(start: int, end: int) -> list[tuple[int, int]]:
+            return [(start + i, j) for i, j in align(words[start:end], template)]
+
+        def can(start: int, end: int) -> bool:
+            return sum((Counter(words[start:end]) & count).values()) >= need
+
+        def joined(seeds: list[tuple[int, int]]) -> list[tuple[int, int]]:
+            start, end = seeds[0][0], seeds[-1][1]
+            if len(seeds) < 2 or not can(start, end):
+                return []
+            return max(increasing([x for s in seeds for x in aligned(*s)]), aligned(start, end), key=len)
+
+        threes = set(zip(template, template[1:], template[2:]))  # noqa: B905
+        whole, seeds = {}, []
+        for start, end in places(words, hits, template, self.p.max_gap):
+            if can(start, end) and len(got := aligned(start, end)) >= need:
+                whole[start, end] = got
+            if (start, end) in whole or any(tuple(words[i : i + 3]) in threes for i in range(start, end - 2)):
+                seeds.append((start, end))
+        left: list[tuple[int, int]] = []  # seeds of successive copies that did not reach it
+        for group in [*copies(words, seeds, template), []]:
+            own = [whole[s] for s in group if s in whole]
+            if len(own) < 2 and len(got := joined(group) if group else []) >= need:
+                own = [max([got, *own], key=len)]
+            if group and not own:
+                left += group
+                continue
+            # words inside a gap can look like the next copy
+            if left and len(got := joined(left)) >= need:
+                yield got
+            left = []
+            yield from own
+
 
 def licences(docs: DataFrame, templates: dict[str, str] | None = None, params: Params = Params()) -> DataFrame:
     """doc_id, licence, coverage, start_word, end_word, n_found, found for

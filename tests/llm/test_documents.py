@@ -62,6 +62,30 @@ def test_determinant_falls_and_outliers_go(spark):
     assert {r.doc_id for r in got if not r.kept} == {k for k in range(150) if k % 10 == 0}
 
 
+# 2
+def test_licence_with_long_insertions():
+    """Against the alignment of whole texts."""
+    foreign = lambda n, k: " ".join(f"zz{k}q{i}" for i in range(n))
+    scanner = license_alignment.Scanner(license_alignment.TEMPLATES, license_alignment.Params())
+    tried = 0
+    for name, text in license_alignment.TEMPLATES.items():
+        w = text.split()
+        template = license_alignment.word_list(text)
+        for n in (8, 9, 30, 300):
+            for at in ([len(w) // 2], [len(w) // 3, 2 * len(w) // 3]):
+                if len(w) < 12:
+                    continue
+                cuts = [0, *at, len(w)]
+                notice = f" {foreign(n, 1)} ".join(" ".join(w[a:b]) for a, b in zip(cuts, cuts[1:]))
+                for copies in (1, 2):
+                    body = f" {foreign(50, 2)} ".join([notice] * copies)
+                    got = [f for f in scanner.scan(f"{foreign(20, 3)} {body} {foreign(20, 4)}") if f[0] == name]
+                    whole = license_alignment.align(license_alignment.word_list(notice), template)
+                    assert [f[2] for f in got] == [len(whole)] * copies and len(whole) == len(template), (name, n, at, copies)
+                    tried += 1
+    assert tried and not scanner.scan(f"released {foreign(40, 1)} under {foreign(40, 2)} the {foreign(40, 3)} license")
+
+
 # 3
 @pytest.mark.parametrize("hot", [2, 5000])
 def test_suffix_dedup(docs, empty, corpus, hot):
