@@ -21,8 +21,9 @@ positions; its names alone would take more disk than the operator may use.
    document; within a name, suffixes are equal if their shift to the sampled
    position and their 50 bytes are. The first document of equal suffixes
    keeps them, all later ones lose these bytes. Names held by more than
-   ``hot_rows`` documents are first settled in salted groups; only the
-   suffixes that are first in a salted group meet in one group.
+   ``hot_rows`` documents are first settled in salted groups; what is lost
+   there is a span, and only the suffixes that are first in a salted group
+   meet again, by shift and 50 bytes, so unequal ones in different groups.
 4. per document, the union of its lost strings is cut out.
 
 Whole copies of a text are settled by their hash and take no part.
@@ -36,7 +37,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paramforge.llm.common import Scratch, nested
@@ -184,6 +185,43 @@ def suffix_rows(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.Rec
                 )
 
 
+def open_strings(batch: pa.RecordBatch, p: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place in the row, key) of the strings whose mask bit is not set;
+    equal strings at the same shift to the same name have equal keys."""
+    name, mask = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("name", "mask"))
+    ctx = batch.column("ctx").to_pylist()
+    size = np.array([len(x) for x in ctx], dtype=np.int64)
+    count = size - p.min_len + 1  # strings of each row
+    ends = np.cumsum(size)
+    raw = np.frombuffer(b"".join(ctx), dtype=np.uint8)
+    row = np.repeat(np.arange(len(ctx)), count)
+    off = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    windows = names_of(raw, p.min_len)[(ends - size)[row] + off]
+    shift = batch.column("shift").to_numpy()[row] - off
+    key = np.stack([mix(name.view(np.uint64)[row] + shift.astype(np.uint64)), windows], axis=1)
+    open_ = (mask[row] >> off) & 1 == 0
+    return row[open_], off[open_], key[open_]
+
+
+def keyed(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.RecordBatch]:
+    """(k1, k2, doc, first, bit) of every open string."""
+    for whole in batches:
+        for lo in range(0, whole.num_rows, 4_000):
+            batch = whole.slice(lo, 4_000)
+            row, off, key = open_strings(batch, p)
+            doc, first = (batch.column(c).to_numpy(zero_copy_only=False)[row] for c in ("doc", "first"))
+            bit = np.int64(1) << off.astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key[:, 0].copy().view(np.int64), key[:, 1].copy().view(np.int64), doc, first, bit)], ["k1", "k2", "doc", "first", "bit"])
+
+
+def meet(hot: DataFrame, p: Params) -> DataFrame:
+    """(doc, first, mask): strings of ``hot`` that are open in their salted
+    group and also start in an earlier document of another one."""
+    strings = hot.mapInArrow(lambda it: keyed(it, p), "k1 long, k2 long, doc long, first long, bit long")
+    owner = F.min("doc").over(Window.partitionBy("k1", "k2"))
+    return strings.withColumn("owner", owner).where("owner < doc").select("doc", "first", F.col("bit").alias("mask"))
+
+
 def settle(batches: Iterator[pa.RecordBatch], p: Params, carry: bool) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (name, doc): sets the mask bits of strings that also
     start in an earlier document. Only the strings of the last name stay in
@@ -193,18 +231,7 @@ def settle(batches: Iterator[pa.RecordBatch], p: Params, carry: bool) -> Iterato
         for lo in range(0, whole.num_rows, 4_000):
             batch = whole.slice(lo, 4_000)
             name, doc, mask = (batch.column(c).to_numpy(zero_copy_only=False).copy() for c in ("name", "doc", "mask"))
-            ctx = batch.column("ctx").to_pylist()
-            size = np.array([len(x) for x in ctx])
-            count = size - p.min_len + 1  # strings of each row
-            ends = np.cumsum(size)
-            raw = np.frombuffer(b"".join(ctx), dtype=np.uint8)
-            row = np.repeat(np.arange(len(ctx)), count)
-            off = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-            windows = names_of(raw, p.min_len)[(ends - size)[row] + off]
-            shift = batch.column("shift").to_numpy()[row] - off
-            key = np.stack([mix(name.view(np.uint64)[row] + shift.astype(np.uint64)), windows], axis=1)
-            open_ = (mask[row] >> off) & 1 == 0
-            row, off, key = row[open_], off[open_], key[open_]
+            row, off, key = open_strings(batch, p)
             keep = old_name is not None and len(name) and name[0] == old_name
             all_key = np.concatenate([old_key, key]) if keep else key
             all_doc = np.concatenate([old_doc, doc[row]]) if keep else doc[row]
@@ -274,9 +301,9 @@ def lost_strings(docs: DataFrame, p: Params, scratch: Scratch) -> DataFrame:
     kind = rows.schema
     hot = rows.where("salts > 0").withColumn("salt", F.pmod(F.hash("doc"), F.col("salts"))).repartition("name", "salt").sortWithinPartitions("name", "salt", "doc").drop("salt")
     hot = scratch.table(hot.mapInArrow(lambda it: settle(it, p, True), kind), "hot")
-    rest = rows.where("salts = 0").unionByName(hot)
-    open_ = rest.repartition("name").sortWithinPartitions("name", "doc", "first")
-    spans = scratch.table(open_.mapInArrow(lambda it: settle(it, p, False), "doc long, first long, mask long"), "spans")
+    open_ = rows.where("salts = 0").repartition("name").sortWithinPartitions("name", "doc", "first")
+    spans = open_.mapInArrow(lambda it: settle(it, p, False), "doc long, first long, mask long")
+    spans = scratch.table(spans.unionByName(hot.where("mask <> 0").select("doc", "first", "mask")).unionByName(meet(hot, p)), "spans")
     scratch.drop(rows, hot)
     scratch.release_shuffles()
     by_doc = spans.groupBy("doc").agg(F.collect_list(F.struct("first", "mask")).alias("spans"))

@@ -5,6 +5,7 @@ import math
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from paramforge.llm import chosen_path, interpolated_lm, license_alignment, piece_viterbi, robust_quality, rule_classifier, simhash_decontam, suffix_dedup, token_store
@@ -106,6 +107,38 @@ def test_suffix_dedup(docs, empty, corpus, hot):
     assert suffix_dedup.removed_report(empty, p).count() == 0
 
 
+def test_suffix_dedup_hot_phrase(spark):
+    """A phrase in all documents, mostly with other surroundings: one string
+    of it meets only its equals."""
+    rng = np.random.default_rng(2)
+    noise = lambda: "".join(rng.choice(list("abcdefghijklmnop"), 60))
+    phrase, tail = "THIS PHRASE IS IN EACH TEXT ", "AND THIS TAIL IS IN EVERY TENTH OF THEM ALL"
+    texts = [noise() + phrase + (tail if d % 10 == 0 else "") + noise() for d in range(200)]
+    p = suffix_dedup.Params(hot_rows=20)
+    hits = [{"name": n, "salts": 10} for n in shared_names(texts, p)]
+    kind = pa.schema([("doc", pa.int64()), ("text", pa.string()), ("hits", pa.list_(pa.struct([("name", pa.int64()), ("salts", pa.int32())])))])
+    rows = list(suffix_dedup.suffix_rows(iter([pa.RecordBatch.from_pylist([{"doc": d, "text": t, "hits": hits} for d, t in enumerate(texts)], schema=kind)]), p))
+    keys = [k for b in suffix_dedup.keyed(iter(rows), p) for k in zip(b.column("k1").to_pylist(), b.column("k2").to_pylist())]
+    assert len(keys) > 2000 and max(collections.Counter(keys).values()) <= 20
+    got = {r.doc_id: r.kept_sha256 for r in suffix_dedup.removed_report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), p).collect()}
+    seen, cut = set(), 0
+    for d, t in enumerate(texts):
+        gone, strings = set(), [t[j : j + 50] for j in range(len(t) - 49)]
+        for j, w in enumerate(strings):
+            if w in seen:
+                gone.update(range(j, j + 50))
+        seen.update(strings)
+        cut += bool(gone)
+        assert got[d] == hashlib.sha256("".join(c for j, c in enumerate(t) if j not in gone).encode()).hexdigest(), d
+    assert cut >= 19
+
+
+def shared_names(texts, p):
+    batch = pa.RecordBatch.from_pylist([{"doc": d, "text": t} for d, t in enumerate(texts)])
+    names = [n for b in suffix_dedup.sample_names(iter([batch]), p) for n in b.column("name").to_pylist()]
+    return [n for n, c in collections.Counter(names).items() if c > 1]
+
+
 def test_suffix_dedup_stage(docs):
     out = suffix_dedup.without_repeats(docs)
     assert out.columns == docs.columns and out.count() == docs.count()
