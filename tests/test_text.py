@@ -1,5 +1,5 @@
 """Text helpers, structuring and extraction hand-off on hand-written inputs."""
-from conftest import values
+from column_values import values
 from paramforge import constants as K
 from paramforge.functions.text import clean_text, contains_any, py_strip, py_title
 from paramforge.operators import clean as C

@@ -3,7 +3,7 @@ import math
 
 import pytest
 
-from conftest import values
+from column_values import values
 from paramforge.functions import units as U
 
 
