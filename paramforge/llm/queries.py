@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paramforge.llm import chosen_path, interpolated_lm, license_alignment, piece_viterbi, robust_quality, rule_classifier, simhash_decontam, suffix_dedup, temporal_urls, token_store
+from paramforge.llm import chosen_path, conversation_repair, interpolated_lm, license_alignment, packing, piece_viterbi, robust_quality, rule_classifier, simhash_decontam, suffix_dedup, temporal_urls, token_store, tokenizer_alignment
 
 
 def tokenizer_path(name: str) -> str:
@@ -97,6 +97,20 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.stored_report(_table(spark, sf_dir, "documents"), token_store.Params(tokenizer_path("byte_bpe_50k.json")))
 
 
+def op11_tokenizer_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenizer_alignment.alignment_report(_table(spark, sf_dir, "documents"), tokenizer_alignment.Params(tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model")))
+
+
+def op12_suffix_dawg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.damage_report(_table(spark, sf_dir, "conversations"))
+
+
+def op13_window_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(_table(spark, sf_dir, "documents"), packing.Params(tokenizer_path("word_bpe_49k.json")))
+    length = (F.octet_length("ids") / 4).cast("long")
+    return pieces.select("doc_id", "start", length.alias("length"), F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "padding")
+
+
 QUERIES = {
     "op1_robust_quality": op1_robust_quality,
     "op2_license_alignment": op2_license_alignment,
@@ -108,6 +122,9 @@ QUERIES = {
     "op8_temporal_urls": op8_temporal_urls,
     "op9_interpolated_lm": op9_interpolated_lm,
     "op10_token_store": op10_token_store,
+    "op11_tokenizer_spans": op11_tokenizer_spans,
+    "op12_suffix_dawg": op12_suffix_dawg,
+    "op13_window_packing": op13_window_packing,
 }
 
 ORACLE: dict[str, str] = {"op8_temporal_urls": OP8_SQL}
