@@ -22,11 +22,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: that with the least
-    doc_id, once. Rows without a doc_id stay."""
-    keep = chosen_path.near_duplicates(docs).where("doc_id = class_id").select(F.col("doc_id").alias("_keep")).distinct()
-    rows = nested(docs, "doc_id")
-    kept = rows.join(keep, F.col("doc_id") == F.col("_keep"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(rows.where("doc_id is null")).select("_doc.*")
+    doc_id, once. Rows without a doc_id or a word stay. A doc_id that names
+    several texts is several documents."""
+    keep = chosen_path.representatives(docs).withColumnsRenamed({"doc_id": "_keep", "sha": "_sha"})
+    rows = nested(docs, "doc_id", "text").withColumn("sha", chosen_path.sha())
+    linked = F.coalesce(F.col("doc_id").isNotNull() & F.col("text").rlike(chosen_path.HAS_WORD), F.lit(False))
+    kept = rows.where(linked).join(keep, (F.col("doc_id") == F.col("_keep")) & (F.col("sha") == F.col("_sha")), "left_semi").dropDuplicates(["doc_id", "sha"])
+    return kept.unionByName(rows.where(~linked)).select("_doc.*")
 
 
 def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -46,3 +46,21 @@ def ragged(values: list[bytes], at: np.ndarray, item: str = "<u4") -> tuple[np.n
 def row_ends(ends: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Ends of the rows, from the ends of their values and the rows' offsets."""
     return np.concatenate([[0], ends])[offsets[1:]]
+
+
+def as_one(at: np.ndarray, offsets: np.ndarray, rows: np.ndarray, value: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and offsets with each of the ascending ``rows`` turned into one
+    value; these are numbered from ``value`` on."""
+    if not len(rows):
+        return at, offsets
+    parts, sizes, done = [], np.diff(offsets), 0
+    for n, k in enumerate(rows.tolist()):
+        parts += [at[offsets[done] : offsets[k]], np.array([value + n], dtype=at.dtype)]
+        sizes[k], done = 1, k + 1
+    return np.concatenate([*parts, at[offsets[done] :]]), np.concatenate([[0], np.cumsum(sizes)])
+
+
+def rows_with(marked: np.ndarray, at: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Rows that hold a marked value."""
+    seen = np.concatenate([[0], np.cumsum(marked[at])])
+    return np.flatnonzero(seen[offsets[1:]] > seen[offsets[:-1]])

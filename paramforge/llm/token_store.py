@@ -16,14 +16,14 @@ reaches. A row is a block of documents in ascending order:
 ====================  ==================================================
 
 A second table, ``dictionary``, holds the dictionary under its hash. It is
-trained on the id arrays of at most ``sample_docs`` documents (those with
-the least hash of their id, of at most ``sample_bytes`` bytes of text);
+trained on the id arrays of at most ``sample_docs`` documents (drawn by a
+seeded share of the rows of at most ``sample_bytes`` bytes of text);
 everything else covers all documents.
 
 Texts are split at single blanks between other characters, where the
-tokenizer never joins; each distinct piece of an Arrow batch is encoded once
-by the tokenizers library and remembered. A text that contains an added
-token of the tokenizer is encoded whole.
+tokenizer never joins; each distinct piece of a slice is encoded once by the
+tokenizers library and remembered by the worker, bounded in bytes. A text
+that contains an added token of the tokenizer is encoded whole.
 """
 
 from __future__ import annotations
@@ -37,12 +37,15 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from paramforge.llm.common import Scratch, parts_for, text_bytes
+from paramforge.llm.distinct import as_one, distinct, ragged, row_ends, rows_with, slices
+from paramforge.llm.remember import Remembered, in_worker
 
 
 @dataclass(frozen=True)
@@ -54,22 +57,25 @@ class Params:
     sample_docs: int = 1_000  # bound of the dictionary's training sample
     sample_bytes: int = 16 << 10
     block_bytes: int = 1 << 20  # compressed bytes of a block
-    cache: int = 250_000  # remembered pieces of a task
+    slice_bytes: int = 4 << 20  # of text encoded at once
+    cache_bytes: int = 128 << 20  # of a generation of remembered pieces
 
 
-ODD_SPACE = re.compile(r" (?=\s)|\s(?= )")
-CUT = re.compile(r"(?<=\S)(?= \S)")
+#: Signs after a letter or digit, at the end of a piece: a piece of their own.
+TAIL = re.compile(r"(.*[0-9A-Za-z])([!-/:-@\[-`{-~]+)", re.DOTALL)
 
 
 class Encoder:
     """Text -> ids, by the tokenizers library, one distinct piece at a time.
 
-    Pieces after the first are kept without their blank. New ones are encoded
-    joined together, many in one call: each begins with a blank and holds no
-    other, so the tokens that begin with a blank are where pieces begin.
+    A byte-level tokenizer cuts between a character and a blank before another
+    character. New pieces are encoded joined, many in one call: each begins
+    with a blank and holds no other, so the tokens that begin with a blank are
+    where pieces begin. Texts whose blanks stand otherwise, or that hold an
+    added token, are encoded whole.
     """
 
-    def __init__(self, spec: str, cache: int):
+    def __init__(self, spec: str, cache_bytes: int):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -79,66 +85,58 @@ class Encoder:
         self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.blank = np.zeros(max(self.tok.get_vocab().values()) + 1, dtype=bool)
         self.blank[[i for t, i in self.tok.get_vocab().items() if t.startswith("\u0120")]] = True  # the byte-level sign of a blank
-        self.cache, self.known, self.heads = cache, {}, {}
-
-    def pieces(self, text: str) -> list[str]:
-        """The first piece, then the others without their blank."""
-        if any(t in text for t in self.added):
-            return [text]
-        if ODD_SPACE.search(text):
-            first, *rest = CUT.split(text)
-            return [first, *[x[1:] for x in rest]]
-        return text.split(" ")
-
-    def one_by_one(self, texts: list[str]) -> Iterator[bytes]:
-        for e in self.tok.encode_batch_fast(texts, add_special_tokens=False):
-            yield np.array(e.ids, dtype="<u4").tobytes()
-
-    def learn(self, new: list[str]) -> None:
-        plain, odd = [], []
-        for x in new:
-            (plain if x and " " not in x and not x[0].isspace() and not x[-1].isspace() else odd).append(x)
-        groups = [plain[k : k + 500] for k in range(0, len(plain), 500)]
-        for group, e in zip(groups, self.tok.encode_batch_fast(["".join([" " + x for x in g]) for g in groups], add_special_tokens=False), strict=True):
+        self.known = Remembered(self.new_pieces, cache_bytes)
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def new_pieces(self, pieces: list[str]) -> list[bytes]:
+        split = [m.groups() if (m := TAIL.fullmatch(x)) else (x, "") for x in pieces]
+        parts = list({x for pair in split for x in pair})
+        out = {"": b""}
+        joined = [x for x in parts if x[:1] == " " and " " not in x[1:]]
+        groups = [joined[k : k + 500] for k in range(0, len(joined), 500)]
+        for group, e in zip(groups, self.tok.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, dtype="<u4")
             at = (np.flatnonzero(self.blank[ids]) * 4).tolist()
-            if len(at) != len(group) or at[0]:
-                odd.extend(group)
-                continue
-            raw = ids.tobytes()
-            self.known.update(zip(group, [raw[i:j] for i, j in zip(at, [*at[1:], len(raw)], strict=True)], strict=True))
-        self.known.update(zip(odd, self.one_by_one([" " + x for x in odd]), strict=True))
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """In slices, so that pieces in use are never more than a slice's."""
-        for lo in range(0, len(texts), 128):
-            split = [self.pieces(t) if t else [""] for t in texts[lo : lo + 128]]
-            if len(self.known) > self.cache:
-                self.known.clear()
-                self.heads.clear()
-            heads = [p[0] for p in split]
-            rest = [p[1:] for p in split]
-            new = list({h for h in heads if h and h not in self.heads})
-            self.heads.update(zip(new, self.one_by_one(new), strict=True))
-            self.heads[""] = b""
-            self.learn(list(set().union(*rest) - self.known.keys()))
-            get = self.known.__getitem__
-            for h, r in zip(heads, rest, strict=True):
-                yield self.heads[h] + b"".join(map(get, r))
+            if len(at) == len(group) and at[0] == 0:
+                raw = ids.tobytes()
+                out.update(zip(group, [raw[i:j] for i, j in zip(at, [*at[1:], len(raw)], strict=True)], strict=True))
+        rest = [x for x in parts if x not in out]
+        out.update(zip(rest, self.whole(rest), strict=True))
+        return [out[a] + out[b] for a, b in split]
+
+    def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in one line, end of each text)."""
+        words, at, offsets = distinct(pc.split_pattern(texts, " "))
+        odd = np.array([not w or w[0].isspace() or w[-1].isspace() or any(t in w for t in self.added) for w in words], dtype=bool)
+        whole = rows_with(odd, at, offsets)
+        heads, nth = np.unique(at[offsets[:-1]], return_inverse=True)  # the first word of a text has no blank
+        at = at.copy()
+        at[offsets[:-1]] = len(words) + nth
+        keys = ["" if o else " " + w for w, o in zip(words, odd.tolist(), strict=True)] + ["" if odd[h] else words[h] for h in heads.tolist()]
+        known = self.known.learn(set(keys))
+        values = [known[k] for k in keys]
+        at, offsets = as_one(at, offsets, whole, len(values))
+        ids, ends = ragged(values + self.whole(texts.take(pa.array(whole)).to_pylist()), at)
+        return ids, row_ends(ends, offsets)
 
 
 def encoded(batches: Iterator[pa.RecordBatch], spec: str, p: Params) -> Iterator[tuple[int | None, bytes]]:
-    enc = Encoder(spec, p.cache)
+    enc = in_worker(("pieces", spec, p.cache_bytes), lambda: Encoder(spec, p.cache_bytes))
     end = np.array([p.end_id], dtype="<u4").tobytes()
-    for whole in batches:
-        for lo in range(0, whole.num_rows, 512):
-            batch = whole.slice(lo, 512)
-            yield from zip(batch.column("doc_id").to_pylist(), (x + end for x in enc.encode(batch.column("text").to_pylist())), strict=True)
+    for part in slices(batches, "text", p.slice_bytes):
+        ids, ends = enc.encode(part.column("text"))
+        raw, at = ids.tobytes(), (ends * 4).tolist()
+        yield from zip(part.column("doc_id").to_pylist(), [raw[i:j] + end for i, j in zip([0, *at[:-1]], at, strict=True)], strict=True)
 
 
 def train_dictionary(docs: DataFrame, spec: str, p: Params) -> bytes:
     """Bytes of the dictionary; empty if there is too little to learn from."""
-    sample = docs.where(F.octet_length("text").between(1, p.sample_bytes)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(p.sample_docs)
+    short = docs.where(F.octet_length("text").between(1, p.sample_bytes))
+    # about twice the rows that are wanted, whatever the ids; only these are sorted
+    share = min(1.0, 2 * p.sample_docs / max(1, short.count()))
+    sample = short.where(F.rand(7) < share).orderBy(F.xxhash64("doc_id", "text")).limit(p.sample_docs)
 
     def ids(batches):
         for _, raw in encoded(batches, spec, p):

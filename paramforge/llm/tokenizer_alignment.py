@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paramforge.llm.common import Scratch, parts_for
-from paramforge.llm.distinct import distinct, ragged, row_ends, slices
+from paramforge.llm.distinct import as_one, distinct, ragged, rows_with, slices
 from paramforge.llm.remember import Remembered, in_worker
 
 MARK = "▁"
@@ -43,8 +43,8 @@ MARK = "▁"
 class Params:
     tokenizer: str  # path of a byte-level BPE of the tokenizers library (A)
     pieces: str  # path of a SentencePiece model (B)
-    chunk_bytes: int = 16 << 20  # of text; a longer document is a chunk alone
-    cache_bytes: int = 128 << 20  # of a generation of remembered units
+    chunk_bytes: int = 8 << 20  # of text; a longer document is a chunk alone
+    cache_bytes: int = 80 << 20  # of a generation of remembered units
 
 
 def byte_of_sign() -> dict[str, int]:
@@ -132,7 +132,7 @@ class Aligner:
             raise ValueError("a piece reaches over the start of a marked word")
         self.write = GroupWriter(len(self.a_bytes), len(self.b_bytes))
         self.flat = [(np.frombuffer(b"".join(x), dtype=np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in x])])) for x in (self.a_bytes, self.b_bytes)]
-        self.units = Remembered(self.new_units, cache_bytes, lambda u: 0 if u is None else len(u[0]) + len(u[1]) + 100)
+        self.units = Remembered(self.new_units, cache_bytes, lambda u: 0 if u is None else len(u[0]) + len(u[1]) + 250)
 
     def spelled(self, which: int, ids: np.ndarray, lens: np.ndarray, raw: bytes) -> bool:
         flat, first = self.flat[which]
@@ -203,17 +203,10 @@ class Aligner:
         known = self.units.learn({w for w, o in zip(words, odd.tolist(), strict=True) if not o})
         found = [None if o else known[w] for w, o in zip(words, odd.tolist(), strict=True)]
         odd |= np.array([f is None for f in found], dtype=bool)
-        first = np.concatenate([[0], np.cumsum(odd[at])])
-        whole = np.flatnonzero(first[offsets[1:]] > first[offsets[:-1]])
-        if len(whole):
-            rows, sizes, done = [], np.diff(offsets), 0
-            for k in whole.tolist():
-                rows += [at[offsets[done] : offsets[k]], np.array([len(found)])]
-                text = texts[k].as_py()
-                found.append(self.unit(self.line(text)) if text else None)
-                sizes[k], done = 1, k + 1
-            at = np.concatenate([*rows, at[offsets[done] :]])
-            offsets = np.concatenate([[0], np.cumsum(sizes)])
+        whole = rows_with(odd, at, offsets)
+        at, offsets = as_one(at, offsets, whole, len(found))
+        for text in texts.take(pa.array(whole)).to_pylist():
+            found.append(self.unit(self.line(text)) if text else None)
         return found, at, offsets
 
 

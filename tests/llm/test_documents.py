@@ -2,6 +2,7 @@
 import collections
 import hashlib
 import math
+import random
 import zlib
 
 import numpy as np
@@ -185,6 +186,40 @@ def test_chosen_path_repeated_rows(docs):
     assert sum(n > 0 for *_, n in once) > 4
 
 
+def test_chosen_path_two_texts_under_one_doc_id(spark, corpus):
+    """Each text of the doc_id has its own links; none is lost."""
+    base = [t for _, t in corpus[9:39]][:8]
+    near = [t + " and more" for t in base]
+    rows = [(1, base[0]), (1, base[1]), (1, base[1]), (2, near[0]), (3, near[1]), (4, base[2]), (4, near[2]), (5, base[3]), (5, base[4])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.class_id, r.copy_of, r.n_links) for r in chosen_path.near_duplicates(docs).collect())
+    assert got == [(1, 1, 1, 1)] * 3 + [(2, 1, 1 + 1, 1), (3, 1, 3, 1), (4, 4, 4, 1), (4, 4, 4, 1), (5, 5, 5, 0), (5, 5, 5, 0)]
+    kept = chosen_path.representatives(docs)
+    assert sorted(r.doc_id for r in kept.collect())[-2:] == [5, 5] and kept.count() == 5
+
+
+def test_chosen_path_large_groups_and_recall(spark):
+    """Thousands of links, in leaves cut into blocks: none is lost, and none
+    is counted twice."""
+    rng = random.Random(8)
+    words = lambda n: [rng.choice("abcdefghij") + str(rng.randrange(300)) for _ in range(n)]
+    rows, sets = [], []
+    for group in range(12):
+        base = words(120)
+        for k in range(60 if group < 2 else 6):
+            t = list(base)
+            t[rng.randrange(120)] = f"changed{rng.randrange(9)}"
+            rows.append(" ".join(t))
+    rows = sorted(set(rows)) + [" ".join(words(60)) for _ in range(200)]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, rows)]
+    want = [sum(a != b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) for b in range(len(sets))) for a in range(len(sets))]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    for p in (chosen_path.Params(), chosen_path.Params(leaf_rows=10, block_rows=15)):
+        got = {r.doc_id: r.n_links for r in chosen_path.near_duplicates(docs, p).collect()}
+        assert [got[k] for k in range(len(rows))] == want
+    assert sum(want) > 2000
+
+
 # 5
 def test_pieces(docs, empty, corpus):
     model = tokenizer_path("piece_bpe_32k.model")
