@@ -52,7 +52,7 @@ class Params:
     recall: float = 0.999  # of pairs at the threshold, after all runs
     max_depth: int = 3
     leaf_rows: int = 200
-    block_rows: int = 1_000
+    block_rows: int = 2_500
     block_bytes: int = 32 << 20  # of the sets of a block
 
     def runs(self) -> int:

@@ -52,7 +52,7 @@ class Params:
     grid: int = 64  # distance of the cuts offered inside a long sentence
     block_ids: int = 1 << 20  # a block ends with the document that reaches it
     slice_bytes: int = 8 << 20  # of text encoded at once
-    cache_bytes: int = 160 << 20  # of a generation of remembered words
+    cache_bytes: int = 192 << 20  # of a generation of remembered words
 
 
 SENTENCE_END = re.compile(r"[\"')\]]*[.!?]+[\"')\]]*(</w>)?")

@@ -7,7 +7,7 @@ import sys
 import types
 from collections.abc import Callable, Iterable
 
-ENTRY = 200  # bytes of a dictionary entry and its objects
+ENTRY = 300  # bytes of a dictionary entry and its objects
 
 
 class Remembered:

@@ -58,7 +58,7 @@ class Params:
     sample_bytes: int = 16 << 10
     block_bytes: int = 1 << 20  # compressed bytes of a block
     slice_bytes: int = 4 << 20  # of text encoded at once
-    cache_bytes: int = 128 << 20  # of a generation of remembered pieces
+    cache_bytes: int = 96 << 20  # of a generation of remembered pieces
 
 
 #: Signs after a letter or digit, at the end of a piece: a piece of their own.

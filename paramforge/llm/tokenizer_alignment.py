@@ -44,7 +44,7 @@ class Params:
     tokenizer: str  # path of a byte-level BPE of the tokenizers library (A)
     pieces: str  # path of a SentencePiece model (B)
     chunk_bytes: int = 8 << 20  # of text; a longer document is a chunk alone
-    cache_bytes: int = 80 << 20  # of a generation of remembered units
+    cache_bytes: int = 96 << 20  # of a generation of remembered units
 
 
 def byte_of_sign() -> dict[str, int]:
