@@ -237,3 +237,35 @@ PY_WHITESPACE_CLASS = (
 )
 # Bracketed numeric citation lists such as [1] or [2, 3].
 CITATION_PATTERN = r"\[\p{Nd}+(?:," + PY_WHITESPACE_CLASS + r"*\p{Nd}+)*\]"
+
+# ---------------------------------------------------------------------------
+# FIXED VALUES — chemistry: element symbols, names of elements and anions
+# ---------------------------------------------------------------------------
+ELEMENTS = (
+    "H He Li Be B C N O F Ne Na Mg Al Si P S Cl Ar K Ca Sc Ti V Cr Mn Fe Co Ni Cu Zn Ga Ge As Se Br Kr Rb Sr Y Zr Nb Mo Tc Ru Rh Pd "
+    "Ag Cd In Sn Sb Te I Xe Cs Ba La Ce Pr Nd Pm Sm Eu Gd Tb Dy Ho Er Tm Yb Lu Hf Ta W Re Os Ir Pt Au Hg Tl Pb Bi Po At Rn Fr Ra Ac Th "
+    "Pa U Np Pu Am Cm Bk Cf Es Fm Md No Lr Rf Db Sg Bh Hs Mt Ds Rg Cn Nh Fl Mc Lv Ts Og"
+).split()
+ELEMENT_WORDS = [
+    ("aluminium", "Al"), ("aluminum", "Al"), ("barium", "Ba"), ("bismuth", "Bi"), ("boron", "B"), ("cadmium", "Cd"),
+    ("calcium", "Ca"), ("carbon", "C"), ("cerium", "Ce"), ("chromium", "Cr"), ("cobalt", "Co"), ("copper", "Cu"),
+    ("gallium", "Ga"), ("germanium", "Ge"), ("gold", "Au"), ("hafnium", "Hf"), ("indium", "In"), ("iron", "Fe"),
+    ("lanthanum", "La"), ("lead", "Pb"), ("lithium", "Li"), ("magnesium", "Mg"), ("manganese", "Mn"),
+    ("molybdenum", "Mo"), ("nickel", "Ni"), ("niobium", "Nb"), ("platinum", "Pt"), ("silicon", "Si"),
+    ("silver", "Ag"), ("strontium", "Sr"), ("tantalum", "Ta"), ("tin", "Sn"), ("titanium", "Ti"),
+    ("tungsten", "W"), ("vanadium", "V"), ("yttrium", "Y"), ("zinc", "Zn"), ("zirconium", "Zr"),
+]
+ANION_WORDS = [
+    ("oxide", "O"), ("nitride", "N"), ("carbide", "C"), ("sulfide", "S"), ("sulphide", "S"), ("selenide", "Se"),
+    ("telluride", "Te"), ("fluoride", "F"), ("chloride", "Cl"), ("boride", "B"), ("silicide", "Si"), ("phosphide", "P"),
+]
+NAME_PREFIXES = [("mono", 1.0), ("mon", 1.0), ("di", 2.0), ("tri", 3.0), ("tetra", 4.0), ("tetr", 4.0), ("penta", 5.0), ("pent", 5.0), ("hexa", 6.0)]
+MATERIAL_ACRONYMS = [("YBCO", "YBa2Cu3O7"), ("ITO", "In2O3"), ("AZO", "ZnO"), ("BTO", "BaTiO3"), ("STO", "SrTiO3")]
+#: Other spellings of the derived table's materials (test data of the family grouping).
+NAME_VARIANTS = [
+    ("ZnO", ["OZn", "Al-doped ZnO", "AZO", "Zn1O1"]),
+    ("Zinc oxide", ["Zinc oxid", "Zinc  Oxide", "Znic oxide", "zinc monoxide"]),
+    ("TiO2", ["O2Ti", "Titanium dioxide", "Titanium dioxde", "titanium(IV) oxide"]),
+    ("YBCO", ["YBa2Cu3O7", "Cu3Ba2YO7", "ybco"]),
+    ("TiN", ["Titanium nitride", "NTi", "Titanum nitride"]),
+]

@@ -20,9 +20,11 @@ from ..functions.text import strip_suffixes
 from ..functions.vectors import as_double_array, letter_profile
 from ..operators import clean as C
 from ..operators import extract as X
+from ..operators import names as N
 from ..operators import retrieval as R
 from ..operators import stats as S
 from ..operators import structure as B
+from ..operators import text_search as TS
 from ..sources.tables import raw_extractions, read_table
 from .store import stored
 
@@ -557,3 +559,83 @@ def q_answer_request(spark, sf_dir):
 @query("rag_sources")
 def q_rag_sources(spark, sf_dir):
     return R.rag_sources(family_hits(spark, sf_dir, K.MICRO_K))
+
+
+# --- E: text search and families found by it ----------------------------------------
+
+def collection_index(spark, sf_dir) -> DataFrame:
+    """Token weights of the collection's sentences, written once."""
+    return stored(spark, sf_dir, "collection_index", lambda: TS.token_weights(
+        collection_table(spark, sf_dir).select("paper_id", "document"), "paper_id", "document"))
+
+
+def document_index(spark, sf_dir) -> DataFrame:
+    """Token weights of the documents, written once."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return stored(spark, sf_dir, "document_index", lambda: TS.token_weights(docs, "doc_id", "text"))
+
+
+@query("embed_tokens")
+def q_embed_tokens(spark, sf_dir):
+    return TS.token_weights(collection_table(spark, sf_dir).select("paper_id", "document"), "paper_id", "document").select(
+        "paper_id", "token", "weight")
+
+
+def family_texts(spark) -> DataFrame:
+    return S.alias_table(spark).select(F.col("family").alias("query")).distinct().withColumn("qtext", F.col("query"))
+
+
+def _text_hits(spark, sf_dir, k: int) -> DataFrame:
+    hits = TS.search(collection_index(spark, sf_dir), family_texts(spark), k, key="paper_id")
+    names = collection_table(spark, sf_dir).select("paper_id", "material")
+    return hits.join(names, "paper_id").select("query", "rank", "paper_id", "material", "score", r6("cosine").alias("cosine"))
+
+
+@query("text_top10")
+def q_text_top10(spark, sf_dir):
+    return _text_hits(spark, sf_dir, K.MICRO_K)
+
+
+@query("text_top50")
+def q_text_top50(spark, sf_dir):
+    return _text_hits(spark, sf_dir, K.MACRO_K)
+
+
+@query("similar_documents")
+def q_similar_documents(spark, sf_dir):
+    """Every document whose id is divisible by 50 as a query against all."""
+    asked = read_table(spark, sf_dir, "documents").where("doc_id % 50 = 0").select(F.col("doc_id").alias("query"), F.col("text").alias("qtext"))
+    hits = TS.search(document_index(spark, sf_dir), asked, K.MICRO_K, key="doc_id")
+    return hits.select("query", "rank", "doc_id", "score", r6("cosine").alias("cosine"))
+
+
+@query("family_groups")
+def q_family_groups(spark, sf_dir):
+    """Names of the papers as people write them: a third of the rows carry
+    another spelling of their material."""
+    papers = raw_table(spark, sf_dir).select(N.variant_name(F.col("material"), F.col("paper_id")).alias("material"))
+    return N.family_groups(papers)
+
+
+def searched_aliases(spark, sf_dir) -> DataFrame:
+    """(family, material) found at run time: each wanted name is grouped with
+    the collection's names, every name of the group is searched, and the
+    names of the hits that belong to the group stay."""
+    wanted = family_texts(spark).select("query")
+    names = collection_table(spark, sf_dir).select("material")
+    groups = N.family_groups(names).checkpoint()
+    members = N.family_names(groups, wanted)
+    asked = members.select(F.to_json(F.struct("family", "material")).alias("query"), F.col("material").alias("qtext"))
+    hits = TS.search(collection_index(spark, sf_dir), asked, K.MACRO_K, key="paper_id")
+    found = hits.join(collection_table(spark, sf_dir).select("paper_id", "material"), "paper_id").select(F.get_json_object("query", "$.family").alias("family"), "material").distinct()
+    return found.join(members, ["family", "material"], "left_semi")
+
+
+@query("family_dashboard")
+def q_family_dashboard(spark, sf_dir):
+    """Search -> names -> statistics: no constant alias table; the found names
+    filter the papers by a join in the plan of the statistics."""
+    aliases = searched_aliases(spark, sf_dir).checkpoint()
+    cons = S.consensus(S.family_rows(C.scalar_view(final_papers(spark, sf_dir)), aliases))
+    return cons.select(*[r6(c).alias(c) if c.endswith(("_mean", "_median", "_mode", "_min", "_max")) else F.col(c)
+                         for c in cons.columns])

@@ -636,3 +636,51 @@ _RULE_CLEAN = (
 )
 reg("rule_papers_clean", f"WITH {COMBINED}, rclean AS ({_RULE_CLEAN}) SELECT paper_id, gas_mixture_std, "
     + ", ".join(arr_summary(m, m) for m in MEAS) + " FROM rclean", base=False)
+
+
+# --- E: text search -----------------------------------------------------------
+
+def weights_cte(src: str, key: str, text: str) -> str:
+    """tc, ts, tw: token counts, statistics and weights of ``src``."""
+    words = f"list_filter(regexp_split_to_array(lower({text}), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')"
+    return f"""
+tc AS (SELECT {key}, token, length(bin(count(*))) AS bits FROM (SELECT {key}, unnest({words}) AS token FROM {src}) GROUP BY ALL),
+ts AS (SELECT token, count(*) AS df, CAST(round(1000 * ln(((SELECT count(*) FROM {src}) + 1) / (count(*) + 1))) AS BIGINT) AS idf FROM tc GROUP BY token),
+tx AS (SELECT {key}, token, bits * idf AS x FROM tc JOIN ts USING (token) WHERE idf > 0),
+tn AS (SELECT {key}, sqrt(CAST(sum(x * x) AS DOUBLE)) AS norm FROM tx GROUP BY {key}),
+tw AS (SELECT {key}, token, CAST(floor(65536 * x / norm) AS BIGINT) AS weight FROM tx JOIN tn USING ({key}))
+"""
+
+
+def hits_cte(key: str, asked: str, k: int) -> str:
+    """thits: the k best texts of each row of ``asked`` (query, qtext)."""
+    words = "list_filter(regexp_split_to_array(lower(qtext), '[^\\p{L}\\p{N}]+'), lambda t: t <> '')"
+    return f"""
+qx AS (SELECT query, token, length(bin(count(*))) * any_value(idf) AS x FROM (SELECT query, unnest({words}) AS token FROM ({asked})) JOIN ts USING (token) WHERE idf > 0 GROUP BY ALL),
+qn AS (SELECT query, sqrt(CAST(sum(x * x) AS DOUBLE)) AS norm FROM qx GROUP BY query),
+scores AS (SELECT query, {key}, CAST(sum(x * weight) AS BIGINT) AS score FROM qx JOIN tw USING (token) GROUP BY ALL),
+thits AS (SELECT query, {key}, score, round(score / (norm * 65536), 6) AS cosine, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, {key}) AS rank FROM scores) JOIN qn USING (query) WHERE rank <= {k})
+"""
+
+
+_TW = weights_cte("collection", "paper_id", "document")
+reg("embed_tokens", COLLECTION_CTE + f", {_TW} SELECT paper_id, token, weight FROM tw")
+for _name, _k in (("text_top10", K.MICRO_K), ("text_top50", K.MACRO_K)):
+    reg(_name, COLLECTION_CTE + f", {_TW}, {hits_cte('paper_id', f'SELECT query, query AS qtext FROM ({FAMILIES})', _k)}"
+        "SELECT query, rank, paper_id, material, score, cosine FROM thits JOIN collection USING (paper_id)")
+reg("similar_documents", f"WITH {weights_cte('documents', 'doc_id', 'text')}, "
+    + hits_cte("doc_id", "SELECT doc_id AS query, text AS qtext FROM documents WHERE doc_id % 50 = 0", K.MICRO_K)
+    + "SELECT query, rank, doc_id, score, cosine FROM thits", base=False)
+
+# the families as they should come out, by hand
+_VARIANT = "material"
+for _n, _others in K.NAME_VARIANTS:
+    for _i, _o in enumerate(_others):
+        _VARIANT = f"CASE WHEN material = {lit(_n)} AND CAST(regexp_extract(paper_id, '/([0-9]+)', 1) AS BIGINT) % 12 = {_i} THEN {lit(_o)} ELSE {_VARIANT} END"
+_OF = dict(K.FAMILY_ALIASES and [(m, f) for f, m in K.FAMILY_ALIASES]) | {o: dict((m, f) for f, m in K.FAMILY_ALIASES)[n] for n, others in K.NAME_VARIANTS for o in others}
+_GROUP = "CASE name " + " ".join(f"WHEN {lit(n)} THEN {lit(f)}" for n, f in _OF.items()) + " ELSE name END"
+reg("family_groups", f""", named AS (SELECT {_VARIANT} AS name FROM raw WHERE material IS NOT NULL),
+counted AS (SELECT name, {_GROUP} AS g, count(*) AS n FROM named GROUP BY ALL)
+SELECT name, n, first_value(name) OVER (PARTITION BY g ORDER BY n DESC, name) AS family FROM counted""")
+reg("family_dashboard", consensus_sql(True))
