@@ -29,9 +29,15 @@ def _apply(value: Column, op: str, operand: float) -> Column:
     return value * F.lit(operand) if op == "*" else value / F.lit(operand)
 
 
+def bound(value: Column, f) -> Column:
+    """``f`` of a value that is evaluated once, however often ``f`` names it
+    (a lambda's argument is a value, not an expression)."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def _nonempty(arr: Column) -> Column:
     """Empty result -> null (C7: no values is a missing measurement)."""
-    return F.when(F.size(arr) > 0, arr)
+    return bound(arr, lambda a: F.when(F.size(a) > 0, a))
 
 
 def split_values(text: Column | str, pattern: str = K.SPLIT_PATTERN) -> Column:
@@ -39,17 +45,29 @@ def split_values(text: Column | str, pattern: str = K.SPLIT_PATTERN) -> Column:
     return F.split(F.lower(_c(text)), pattern, -1)
 
 
+#: Between the captures of a part; translated away in the part itself.
+_MARK = "\u0001"
+
+
 def _strip_blanks(part: Column) -> Column:
-    return F.replace(part, F.lit(" "), F.lit(""))
+    return F.translate(part, _MARK + " ", "\u0002")
 
 
-def _standardise(text: Column | str, pattern: str, prepare, value) -> Column:
-    """Split, then per part: ``prepare`` runs the regexes once and returns
-    a struct of the captures, ``value`` turns it into a number or null.
-    Two passes keep every regex at one evaluation per part."""
+def _captures(part: Column, pattern: str, groups: int) -> Column:
+    """The groups of the first match as an array, by one run of the regex;
+    without a match the array has one element."""
+    marked = _MARK.join(f"${g}" for g in range(1, groups + 1))
+    return F.split(F.regexp_replace(part, r"^[\s\S]*?" + pattern + r"[\s\S]*$", marked), _MARK, -1)
+
+
+def _standardise(text: Column | str, pattern: str, *steps) -> Column:
+    """Split, then one pass per step over the parts: the first runs the regex,
+    the last gives a number or null. Each pass evaluates what it computes
+    once per part; null parts in between are no match."""
     parts = split_values(text, pattern)
-    values = F.filter(F.transform(F.transform(parts, prepare), value), lambda v: v.isNotNull())
-    return F.when(_c(text).isNotNull(), _nonempty(values))
+    for step in steps:
+        parts = F.transform(parts, step)
+    return _nonempty(F.filter(parts, lambda v: v.isNotNull()))
 
 
 def _any_contains(text: Column, marks: list[str]) -> Column:
@@ -74,64 +92,51 @@ def std_pressure(text: Column | str) -> Column:
 
     def prepare(part: Column) -> Column:
         p = F.replace(_strip_blanks(part), F.lit("×"), F.lit("x"))
-        return F.struct(
-            F.regexp_extract(p, K.PRESSURE_PATTERN, 1).alias("b"),
-            F.regexp_extract(p, K.PRESSURE_PATTERN, 2).alias("e"),
-            F.regexp_extract(p, K.PRESSURE_PATTERN, 3).alias("u"),
-            _any_contains(p, K.PRESSURE_EXPONENT_MARKS).alias("scaled"),
-        )
+        return bound(p, lambda p: F.struct(_captures(p, K.PRESSURE_PATTERN, 3).alias("m"), _any_contains(p, K.PRESSURE_EXPONENT_MARKS).alias("scaled")))
 
-    def value(m: Column) -> Column:
-        base = m["b"].try_cast("double")
-        exp_txt = m["e"]
+    def numbers(s: Column) -> Column:
+        exp_txt = s["m"][1]
         exponent = F.when(exp_txt == "", F.lit(0.0)).otherwise(
             F.coalesce(
                 exp_txt.try_cast("double"),
-                F.nullif(F.regexp_extract(exp_txt, r"(-?[0-9]+)", 1), F.lit("")).try_cast("double"),
+                F.regexp_extract(exp_txt, r"(-?[0-9]+)", 1).try_cast("double"),
                 F.lit(0.0),
             )
         )
-        power = F.pow(F.lit(10.0), exponent)
-        raw = F.when(m["scaled"], base * power).otherwise(base)
+        power = F.when(s["scaled"], F.pow(F.lit(10.0), exponent)).otherwise(F.lit(1.0))
+        return F.when(F.size(s["m"]) == 3, F.struct(s["m"][0].try_cast("double").alias("base"), power.alias("power"), s["m"][2].alias("u")))
+
+    def value(s: Column) -> Column:
         # The original raises on 10**exponent overflow; that value is dropped here.
-        overflow = m["scaled"] & (power == F.lit(float("inf")))
-        return F.when((m["b"] != "") & base.isNotNull() & ~overflow, _convert(raw, m["u"], K.PRESSURE_UNITS, True))
+        ok = s["base"].isNotNull() & (s["power"] != float("inf"))
+        return F.when(ok, bound(s["base"] * s["power"], lambda raw: _convert(raw, s["u"], K.PRESSURE_UNITS, True)))
 
-    return _standardise(text, K.SPLIT_PATTERN, prepare, value)
+    return _standardise(text, K.SPLIT_PATTERN, prepare, numbers, value)
 
 
 def std_temperature(text: Column | str) -> Column:
     """Temperature text -> degrees Celsius values."""
 
     def prepare(part: Column) -> Column:
-        p = _strip_blanks(part)
-        q = F.replace(p, F.lit("°"), F.lit(""))
-        return F.struct(
-            _any_contains(p, K.ROOM_TEMPERATURE_MARKS).alias("room"),
-            F.regexp_extract(q, K.TEMPERATURE_PATTERN, 1).alias("n"),
-            F.regexp_extract(q, K.TEMPERATURE_PATTERN, 2).alias("u"),
-        )
+        def both(p: Column) -> Column:
+            return F.struct(_any_contains(p, K.ROOM_TEMPERATURE_MARKS).alias("room"), _captures(F.replace(p, F.lit("°"), F.lit("")), K.TEMPERATURE_PATTERN, 2).alias("m"))
 
-    def value(m: Column) -> Column:
-        val = m["n"].try_cast("double")
-        converted = F.when(m["u"] == "k", val - F.lit(K.KELVIN_OFFSET)).otherwise(val)
-        return F.when(m["room"], F.lit(K.ROOM_TEMPERATURE_C)).when((m["n"] != "") & val.isNotNull(), converted)
+        return bound(_strip_blanks(part), both)
+
+    def value(s: Column) -> Column:
+        converted = s["m"][0].try_cast("double") - F.when(s["m"][1] == "k", F.lit(K.KELVIN_OFFSET)).otherwise(F.lit(0.0))
+        return F.when(s["room"], F.lit(K.ROOM_TEMPERATURE_C)).when(F.size(s["m"]) == 2, converted)
 
     return _standardise(text, K.SPLIT_PATTERN, prepare, value)
 
 
 def _number_unit(pattern: str, pre):
-    def prepare(part: Column) -> Column:
-        p = pre(_strip_blanks(part))
-        return F.struct(F.regexp_extract(p, pattern, 1).alias("n"), F.regexp_extract(p, pattern, 2).alias("u"))
-
-    return prepare
+    return lambda part: _captures(pre(_strip_blanks(part)), pattern, 2)
 
 
 def _number_unit_value(units):
     def value(m: Column) -> Column:
-        val = m["n"].try_cast("double")
-        return F.when((m["n"] != "") & val.isNotNull(), _convert(val, m["u"], units, False))
+        return F.when(F.size(m) == 2, bound(m[0].try_cast("double"), lambda val: _convert(val, m[1], units, False)))
 
     return value
 

@@ -51,6 +51,13 @@ def _arr_summary(arr: Column, prefix: str) -> list[Column]:
     ]
 
 
+def _summaries(df: DataFrame, keep: list[str], **arrays: Column) -> DataFrame:
+    """Arrays computed in one projection and summarised in the next, so that
+    each is evaluated once."""
+    own = df.select(*keep, *[a.alias(n) for n, a in arrays.items()])
+    return own.select(*keep, *[c for n in arrays for c in _arr_summary(F.col(n), n)])
+
+
 # --- shared derived tables ---------------------------------------------------
 
 def raw_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,7 +97,7 @@ def q_multi_value_split(spark, sf_dir):
 def q_std_power(spark, sf_dir):
     raw = raw_table(spark, sf_dir)
     v = U.std_power(C.null_sentinel("power"))
-    return raw.select("paper_id", "power", *_arr_summary(v, "power_w"))
+    return _summaries(raw, ["paper_id", "power"], power_w=v)
 
 
 @query("std_pressure")
@@ -98,24 +105,21 @@ def q_std_pressure(spark, sf_dir):
     raw = raw_table(spark, sf_dir)
     wp = U.std_pressure(C.null_sentinel("working_pressure"))
     bp = U.std_pressure(C.null_sentinel("base_pressure"))
-    return raw.select(
-        "paper_id", "working_pressure", "base_pressure",
-        *_arr_summary(wp, "working_pressure_pa"), *_arr_summary(bp, "base_pressure_pa"),
-    )
+    return _summaries(raw, ["paper_id", "working_pressure", "base_pressure"], working_pressure_pa=wp, base_pressure_pa=bp)
 
 
 @query("std_temperature")
 def q_std_temperature(spark, sf_dir):
     raw = raw_table(spark, sf_dir)
     v = U.std_temperature(C.null_sentinel("temperature"))
-    return raw.select("paper_id", "temperature", *_arr_summary(v, "temperature_c"))
+    return _summaries(raw, ["paper_id", "temperature"], temperature_c=v)
 
 
 @query("std_thickness")
 def q_std_thickness(spark, sf_dir):
     raw = raw_table(spark, sf_dir)
     v = U.std_thickness(C.null_sentinel("film_thickness"))
-    return raw.select("paper_id", "film_thickness", *_arr_summary(v, "thickness_nm"))
+    return _summaries(raw, ["paper_id", "film_thickness"], thickness_nm=v)
 
 
 @query("std_gas")
