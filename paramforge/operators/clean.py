@@ -72,12 +72,8 @@ def method_filter(df: DataFrame, keywords: list[str] = K.METHOD_KEYWORDS, column
 def filter_report(df: DataFrame, keywords: list[str] = K.METHOD_KEYWORDS, column: str = "method") -> DataFrame:
     """Original / dropped / kept counts in one aggregate pass."""
     require_columns(df, [column])
-    keep = method_mask(df, keywords, column)
-    return df.agg(
-        F.count(F.lit(1)).alias("total"),
-        F.count_if(~keep).alias("dropped"),
-        F.count_if(keep).alias("kept"),
-    )
+    counts = df.agg(F.count(F.lit(1)).alias("total"), F.count_if(method_mask(df, keywords, column)).alias("kept"))
+    return counts.select("total", (F.col("total") - F.col("kept")).alias("dropped"), "kept")
 
 
 def require_columns(df: DataFrame, cols: list[str]) -> None:
@@ -120,19 +116,27 @@ def thickness_filter(df: DataFrame, limit: float = K.THICKNESS_PLOT_LIMIT_NM, co
 def number_text(x: Column) -> Column:
     """A number with 15 significant digits, no trailing zeros: ``200.0``,
     ``0.133322``, ``1.33322e-07`` (scientific below 1e-4 and from 1e15)."""
-    sci = F.format_string("%.14e", x)
-    plain = F.regexp_replace(F.regexp_replace(sci.try_cast("decimal(38,20)").cast("string"), "0+$", ""), r"\.$", ".0")
     size = F.abs(x)
-    return F.when(x == 0, F.lit("0.0")).when((size >= 1e-4) & (size < 1e15), plain).otherwise(F.regexp_replace(sci, r"\.?0+e", "e"))
+
+    def rounded() -> Column:
+        sci = F.format_string("%.14e", x)
+        plain = F.regexp_replace(F.regexp_replace(sci.try_cast("decimal(38,20)").cast("string"), "0+$", ""), r"\.$", ".0")
+        return F.when((size >= 1e-4) & (size < 1e15), plain).otherwise(F.regexp_replace(sci, r"\.?0+e", "e"))
+
+    # the shortest text of a double, if it has no more than 15 digits, is the rounded one
+    def short(t: Column) -> Column:
+        return F.when((size >= 1e-3) & (size < 1e7) & (F.length(t) <= 16), t).when(x == 0, F.lit("0.0")).otherwise(rounded())
+
+    return U.bound(x.cast("string"), short)
 
 
 def render_number(values: Column | str) -> Column:
     """Numbers inside rendered sentences: a single value, ``[a, b]`` for a
     list, 'Not specified' for none."""
     v = F.col(values) if isinstance(values, str) else values
-    one = number_text(F.try_element_at(v, F.lit(1)))
-    many = F.concat(F.lit("["), F.array_join(F.transform(v, number_text), ", "), F.lit("]"))
-    return F.when(v.isNull(), F.lit(K.NOT_SPECIFIED)).when(F.size(v) == 1, one).otherwise(many)
+    texts = F.array_join(F.transform(v, number_text), ", ")
+    shown = U.bound(texts, lambda t: F.when(F.size(v) == 1, t).otherwise(F.concat(F.lit("["), t, F.lit("]"))))
+    return F.when(v.isNull(), F.lit(K.NOT_SPECIFIED)).otherwise(shown)
 
 
 def render_document(papers: DataFrame) -> Column:

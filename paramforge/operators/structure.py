@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.text import clean_text, contains_any, strip_tags
+from ..functions.units import bound
 
 # --- documents ----------------------------------------------------------------
 
@@ -49,7 +50,7 @@ def section_text(text: Column | str) -> Column:
     null when none survived (the section is dropped)."""
     cleaned = F.transform(paragraphs_of(text), lambda p: clean_text(p))
     kept = F.filter(cleaned, lambda p: is_relevant(p))
-    return F.when(F.size(kept) > 0, F.array_join(kept, " "))
+    return bound(kept, lambda k: F.when(F.size(k) > 0, F.array_join(k, " ")))
 
 
 def structured_documents(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -65,10 +66,11 @@ def structured_documents(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def section_assemble(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """B7 as rows: (id, heading, text) for sections that kept a paragraph."""
-    return docs.select(id_col, F.col("source").alias("heading"), section_text("text").alias("text")).filter(
-        F.col("text").isNotNull()
-    )
+    """B7 as rows: (id, heading, text) for sections that kept a paragraph.
+    A section is one element of an array and the filter tests the element:
+    a filter on the column would compute the text again below it."""
+    section = F.struct(F.col("source").alias("heading"), section_text("text").alias("text"))
+    return docs.select(id_col, F.inline(F.filter(F.array(section), lambda s: s["text"].isNotNull())))
 
 
 # --- pages (HTML) ---------------------------------------------------------------
