@@ -5,12 +5,10 @@ Shape of the plans:
 * The family filter is a join with the alias table. The alias table is
   tiny and bounded (``MAX_ALIAS_ROWS`` checked), so it is broadcast: no
   shuffle of the paper table.
-* The dashboard is ONE ``groupBy(family)`` over that join (all families
-  at once) instead of one pass per statistic and family. ``avg/min/max``
-  are partially aggregated; exact ``median``/``mode`` buffers hold the
-  distinct values of a group, not its rows. ``exact=False`` switches to
-  fixed-size sketches (``percentile_approx``, ``approx_top_k``) for
-  unbounded cardinality.
+* All families are treated at once: ``avg/min/max`` by one partially
+  aggregated ``groupBy(family)``; medians, quartiles and modes from counts
+  per (family, metric, value), so no task holds the values of a family.
+  ``exact=False`` uses sketches of a fixed size.
 * Histograms: one aggregate gives min/max (a single row, broadcast; per
   group, a small table AQE broadcasts by measured size), a second counts
   per bin. Lists are not cross-exploded: a value of column
