@@ -29,7 +29,6 @@ that contains an added token of the tokenizer is encoded whole.
 from __future__ import annotations
 
 import hashlib
-import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -57,12 +56,14 @@ class Params:
     sample_docs: int = 1_000  # bound of the dictionary's training sample
     sample_bytes: int = 16 << 10
     block_bytes: int = 1 << 20  # compressed bytes of a block
-    slice_bytes: int = 4 << 20  # of text encoded at once
-    cache_bytes: int = 96 << 20  # of a generation of remembered pieces
+    slice_bytes: int = 8 << 20  # of text encoded at once
+    cache_bytes: int = 64 << 20  # of a generation of remembered pieces
 
 
-#: Signs after a letter or digit, at the end of a piece: a piece of their own.
-TAIL = re.compile(r"(.*[0-9A-Za-z])([!-/:-@\[-`{-~]+)", re.DOTALL)
+#: Signs after a letter or digit, at the end of a piece, are a piece of their
+#: own; it is set apart by a blank and ``BARE``, the sign of a piece without one.
+TAIL = r"([0-9A-Za-z])([!-/:-@\[-`{-~]+)( )"
+BARE = "\0"
 
 
 class Encoder:
@@ -91,10 +92,8 @@ class Encoder:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def new_pieces(self, pieces: list[str]) -> list[bytes]:
-        split = [m.groups() if (m := TAIL.fullmatch(x)) else (x, "") for x in pieces]
-        parts = list({x for pair in split for x in pair})
         out = {"": b""}
-        joined = [x for x in parts if x[:1] == " " and " " not in x[1:]]
+        joined = [x for x in pieces if x[:1] == " " and " " not in x[1:]]
         groups = [joined[k : k + 500] for k in range(0, len(joined), 500)]
         for group, e in zip(groups, self.tok.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, dtype="<u4")
@@ -102,19 +101,23 @@ class Encoder:
             if len(at) == len(group) and at[0] == 0:
                 raw = ids.tobytes()
                 out.update(zip(group, [raw[i:j] for i, j in zip(at, [*at[1:], len(raw)], strict=True)], strict=True))
-        rest = [x for x in parts if x not in out]
+        rest = [x for x in pieces if x not in out]
         out.update(zip(rest, self.whole(rest), strict=True))
-        return [out[a] + out[b] for a, b in split]
+        return [out[x] for x in pieces]
 
     def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in one line, end of each text)."""
-        words, at, offsets = distinct(pc.split_pattern(texts, " "))
-        odd = np.array([not w or w[0].isspace() or w[-1].isspace() or any(t in w for t in self.added) for w in words], dtype=bool)
+        strange = pc.match_substring(texts, BARE)
+        for token in self.added:
+            strange = pc.or_(strange, pc.match_substring(texts, token))
+        apart = pc.replace_substring_regex(texts, TAIL, r"\1 " + BARE + r"\2\3")
+        words, at, offsets = distinct(pc.split_pattern(pc.if_else(strange, "", apart), " "))
+        odd = np.array([not w or w[0].isspace() or w[-1].isspace() for w in words], dtype=bool)
         whole = rows_with(odd, at, offsets)
         heads, nth = np.unique(at[offsets[:-1]], return_inverse=True)  # the first word of a text has no blank
         at = at.copy()
         at[offsets[:-1]] = len(words) + nth
-        keys = ["" if o else " " + w for w, o in zip(words, odd.tolist(), strict=True)] + ["" if odd[h] else words[h] for h in heads.tolist()]
+        keys = ["" if o else w[1:] if w[0] == BARE else " " + w for w, o in zip(words, odd.tolist(), strict=True)] + ["" if odd[h] else words[h] for h in heads.tolist()]
         known = self.known.learn(set(keys))
         values = [known[k] for k in keys]
         at, offsets = as_one(at, offsets, whole, len(values))
