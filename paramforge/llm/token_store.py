@@ -29,7 +29,6 @@ that contains an added token of the tokenizer is encoded whole.
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from pathlib import Path
@@ -56,7 +55,7 @@ class Params:
     sample_docs: int = 1_000  # bound of the dictionary's training sample
     sample_bytes: int = 16 << 10
     block_bytes: int = 1 << 20  # compressed bytes of a block
-    slice_bytes: int = 8 << 20  # of text encoded at once
+    slice_bytes: int = 4 << 20  # of text encoded at once
     cache_bytes: int = 64 << 20  # of a generation of remembered pieces
 
 
@@ -94,9 +93,9 @@ class Encoder:
     def new_pieces(self, pieces: list[str]) -> list[bytes]:
         out = {"": b""}
         joined = [x for x in pieces if x[:1] == " " and " " not in x[1:]]
-        groups = [joined[k : k + 500] for k in range(0, len(joined), 500)]
-        for group, e in zip(groups, self.tok.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, dtype="<u4")
+        for k in range(0, len(joined), 500):  # one call each: the library's encodings are many times the text
+            group = joined[k : k + 500]
+            ids = np.array(self.tok.encode_batch_fast(["".join(group)], add_special_tokens=False)[0].ids, dtype="<u4")
             at = (np.flatnonzero(self.blank[ids]) * 4).tolist()
             if len(at) == len(group) and at[0] == 0:
                 raw = ids.tobytes()
@@ -227,11 +226,6 @@ def stored_report(docs: DataFrame, params: Params) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every row of ``docs``, read back
     from the written files. A null text is empty; rows of one doc_id follow
     each other by the hash of their text, null doc_ids come first."""
-    scratch = Scratch(docs.sparkSession, "tokens")
-
-    def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column("ids").to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return read_store(*write_store(docs, params, scratch)).mapInArrow(report, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    rows = read_store(*write_store(docs, params, Scratch(docs.sparkSession, "tokens")))
+    # computed in the JVM: a second Python stage would hold two workers a task
+    return rows.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
