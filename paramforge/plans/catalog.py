@@ -22,10 +22,11 @@ from ..operators import clean as C
 from ..operators import extract as X
 from ..operators import names as N
 from ..operators import retrieval as R
+from ..operators import spans as SP
 from ..operators import stats as S
 from ..operators import structure as B
 from ..operators import text_search as TS
-from ..sources.tables import raw_extractions, read_table
+from ..sources.tables import prose, raw_extractions, read_table
 from .store import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -461,6 +462,19 @@ def q_rule_extract(spark, sf_dir):
         "material", "substrate", "deposition_method", "target", "base_pressure")
 
 
+@query("span_extract")
+def q_span_extract(spark, sf_dir):
+    """All ten fields, each value by its nearest cue, from the raw rows told as text."""
+    return SP.extract_fields(prose(raw_table(spark, sf_dir)))
+
+
+@query("span_method_papers")
+def q_span_method_papers(spark, sf_dir):
+    """Stages 2 to 4 by rules: text -> ten fields -> clean rows -> method filter."""
+    final = C.method_filter(C.papers_clean(SP.extract_fields(prose(raw_table(spark, sf_dir)))))
+    return _summaries(final, ["paper_id", "material", "substrate", "method"], base_pressure_pa=F.col("base_pressure_pa"), working_pressure_pa=F.col("working_pressure_pa"))
+
+
 # --- E: retrieval -------------------------------------------------------------------
 
 

@@ -10,7 +10,8 @@ query; expression builders below produce SQL text.
 from __future__ import annotations
 
 from .. import constants as K
-from ..sources.tables import RAW_EXTRACTION_SQL
+from ..operators import spans as SP
+from ..sources.tables import PROSE_SQL, RAW_EXTRACTION_SQL
 
 ORACLE: dict[str, str] = {}
 
@@ -638,6 +639,38 @@ reg("rule_papers_clean", f"WITH {COMBINED}, rclean AS ({_RULE_CLEAN}) SELECT pap
     + ", ".join(arr_summary(m, m) for m in MEAS) + " FROM rclean", base=False)
 
 
+# --- B15 with positions -----------------------------------------------------
+def _span_kind(which: int) -> str:
+    return "CASE " + " ".join(f"WHEN regexp_full_match(span, {lit('(?i)' + e[2])}) THEN {lit(e[which])}" for e in SP.PATTERNS) + " END"
+
+
+_MARKED = f"regexp_replace(combined_text, {lit(SP.ANY)}, chr(1) || '\\1' || chr(2), 'g')"
+SPAN_CTES = f"""
+prose AS (SELECT row_number() OVER () AS k, * FROM ({PROSE_SQL.format(src='raw')})),
+pieces AS (SELECT k, string_split({_MARKED}, chr(1)) AS l FROM prose),
+piece AS (SELECT k, unnest(l) AS piece, unnest(range(len(l))) AS pos FROM pieces),
+place AS (
+  SELECT *, CAST(sum(length(replace(piece, chr(2), ''))) OVER (PARTITION BY k ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS INT) AS s,
+    string_split(piece, chr(2))[1] AS span FROM piece),
+spans AS (SELECT k, s, s + length(span) AS e, span, {_span_kind(0)} AS quantity, {_span_kind(1)} AS cue FROM place WHERE pos > 0),
+near AS (
+  SELECT v.k, v.s, v.span, v.quantity, arg_min(c.cue, struct_pack(d := CASE WHEN c.s < v.s THEN v.s - c.e ELSE c.s - v.e END, after := c.s > v.s)) AS cue
+  FROM spans v LEFT JOIN spans c ON c.cue <> '' AND c.k = v.k AND c.quantity = v.quantity
+    AND CASE WHEN c.s < v.s THEN v.s - c.e ELSE c.s - v.e END <= {SP.REACH}
+  WHERE v.cue = '' GROUP BY ALL),
+valued AS (SELECT *, coalesce(cue, CASE quantity {' '.join(f"WHEN {lit(q)} THEN {lit(f)}" for q, f in SP.DEFAULT_FIELD.items())} END) AS field FROM near),
+told AS (
+  SELECT p.paper_id, {', '.join(f"coalesce(string_agg(v.span, ', ' ORDER BY v.s) FILTER (WHERE v.field = '{f}'), {NS}) AS {f}" for f in SP.FIELDS)}
+  FROM prose p LEFT JOIN valued v ON p.k = v.k GROUP BY p.k, p.paper_id)"""
+reg("span_extract", f"WITH raw AS ({RAW_EXTRACTION_SQL.format(src='lineitem')}), {SPAN_CTES} SELECT * FROM told", base=False)
+reg("span_method_papers", f"""
+WITH raw AS ({RAW_EXTRACTION_SQL.format(src='lineitem')}), {SPAN_CTES},
+tclean AS (SELECT paper_id, {nullsent('material')} AS material, {nullsent('substrate')} AS substrate, {nullsent('deposition_method')} AS method,
+  {std_pressure(nullsent('base_pressure'))} AS base_pressure_pa, {std_pressure(nullsent('working_pressure'))} AS working_pressure_pa FROM told)
+SELECT paper_id, material, substrate, method, {arr_summary('base_pressure_pa', 'base_pressure_pa')}, {arr_summary('working_pressure_pa', 'working_pressure_pa')}
+FROM tclean WHERE {contains_any("coalesce(method, '')", K.METHOD_KEYWORDS)}""", base=False)
+
+
 # --- E: text search -----------------------------------------------------------
 
 def weights_cte(src: str, key: str, text: str) -> str:

@@ -46,3 +46,22 @@ def raw_extractions(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ``lineitem``. Map-only: no shuffle."""
     lineitem = read_table(spark, sf_dir, "lineitem")
     return spark.sql(RAW_EXTRACTION_SQL, src=lineitem)
+
+
+# The raw rows told as text, as a paper would: cues stand before or after
+# their values. Valid in Spark and in DuckDB; {src} is the raw table.
+PROSE_SQL = """
+SELECT paper_id, concat(
+  CASE WHEN length(paper_id) % 2 = 0 THEN concat(material, ' films were grown') ELSE concat('Films of ', material, ' were grown') END,
+  ' by ', coalesce(deposition_method, 'evaporation'), ' on a ', coalesce(trim(substrate), 'bare'), ' substrate from a target of ', CASE WHEN length(paper_id) % 3 = 0 THEN 'Zn' ELSE 'TiO2' END,
+  '. After pumping to ', CASE WHEN length(paper_id) % 2 = 0 THEN concat('a base pressure of ', coalesce(base_pressure, 'high vacuum')) ELSE concat(coalesce(base_pressure, 'high vacuum'), ' base pressure') END,
+  ', the gas was ', coalesce(gas_mixture, 'not recorded'), ' at a working pressure of ', coalesce(working_pressure, 'a few units'),
+  '. The power was ', coalesce(power, 'not given'), ', the heater stood at ', coalesce(temperature, 'an unknown level'),
+  ' and the layer was ', coalesce(film_thickness, 'thin'), ' thick.') AS combined_text
+FROM {src} t
+"""
+
+
+def prose(raw: DataFrame) -> DataFrame:
+    """(paper_id, combined_text) of every raw row."""
+    return raw.sparkSession.sql(PROSE_SQL, src=raw)
