@@ -63,6 +63,8 @@ class Params:
 #: own; it is set apart by a blank and ``BARE``, the sign of a piece without one.
 TAIL = r"([0-9A-Za-z])([!-/:-@\[-`{-~]+)( )"
 BARE = "\0"
+#: Pieces that are empty or have white space (of ``str.isspace``) at an end.
+ODD = r"^$|^[\t-\r\x1c-\x1f\x{85}\pZ]|[\t-\r\x1c-\x1f\x{85}\pZ]$"
 
 
 class Encoder:
@@ -91,17 +93,18 @@ class Encoder:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def new_pieces(self, pieces: list[str]) -> list[bytes]:
+        """A piece follows a blank, or ``BARE`` if it does not."""
         out = {"": b""}
-        joined = [x for x in pieces if x[:1] == " " and " " not in x[1:]]
+        joined = [x for x in pieces if x and x[0] != BARE]
         for k in range(0, len(joined), 500):  # one call each: the library's encodings are many times the text
             group = joined[k : k + 500]
-            ids = np.array(self.tok.encode_batch_fast(["".join(group)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ids = np.array(self.tok.encode_batch_fast([" " + " ".join(group)], add_special_tokens=False)[0].ids, dtype="<u4")
             at = (np.flatnonzero(self.blank[ids]) * 4).tolist()
             if len(at) == len(group) and at[0] == 0:
                 raw = ids.tobytes()
                 out.update(zip(group, [raw[i:j] for i, j in zip(at, [*at[1:], len(raw)], strict=True)], strict=True))
         rest = [x for x in pieces if x not in out]
-        out.update(zip(rest, self.whole(rest), strict=True))
+        out.update(zip(rest, self.whole([x[1:] if x[0] == BARE else " " + x for x in rest]), strict=True))
         return [out[x] for x in pieces]
 
     def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
@@ -111,12 +114,14 @@ class Encoder:
             strange = pc.or_(strange, pc.match_substring(texts, token))
         apart = pc.replace_substring_regex(texts, TAIL, r"\1 " + BARE + r"\2\3")
         words, at, offsets = distinct(pc.split_pattern(pc.if_else(strange, "", apart), " "))
-        odd = np.array([not w or w[0].isspace() or w[-1].isspace() for w in words], dtype=bool)
+        odd = pc.match_substring_regex(pa.array(words, pa.string()), ODD).to_numpy(zero_copy_only=False)
         whole = rows_with(odd, at, offsets)
         heads, nth = np.unique(at[offsets[:-1]], return_inverse=True)  # the first word of a text has no blank
         at = at.copy()
         at[offsets[:-1]] = len(words) + nth
-        keys = ["" if o else w[1:] if w[0] == BARE else " " + w for w, o in zip(words, odd.tolist(), strict=True)] + ["" if odd[h] else words[h] for h in heads.tolist()]
+        keys = words + ["" if odd[h] else BARE + words[h] for h in heads.tolist()]
+        for k in np.flatnonzero(odd).tolist():
+            keys[k] = ""
         known = self.known.learn(set(keys))
         values = [known[k] for k in keys]
         at, offsets = as_one(at, offsets, whole, len(values))
