@@ -96,8 +96,12 @@ def extract_fields(papers: DataFrame, text_col: str = "combined_text", reach: in
     key = ["paper_id", "_text"]
     rows = papers.select("paper_id", F.col(text_col).alias("_t"), F.xxhash64(F.col(text_col)).alias("_text"))
     values = assigned(spans(rows, "_t", key), reach, key)
-    lists = [F.array_sort(F.collect_list(F.when(F.col("field") == f, F.struct("start", "span")))) for f in FIELDS]
-    parts = [F.array_join(F.transform(x, lambda s: s["span"]), ", ").alias(f) for x, f in zip(lists, FIELDS, strict=True)]
-    filled = values.groupBy(*key).agg(*parts).withColumnsRenamed({"paper_id": "_id", "_text": "_h"})
+    # one list a text, taken apart by field after the shuffle
+    told = values.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("start", "field", "span"))).alias("all"))
+
+    def of(field: str):
+        return F.array_join(F.transform(F.filter("all", lambda s: s["field"] == field), lambda s: s["span"]), ", ").alias(field)
+
+    filled = told.select(F.col("paper_id").alias("_id"), F.col("_text").alias("_h"), *[of(f) for f in FIELDS])
     own = rows.select(*key).join(filled, F.col("paper_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_h")), "left")
     return own.select("paper_id", *[F.coalesce(F.nullif(F.col(f), F.lit("")), F.lit(K.NOT_SPECIFIED)).alias(f) for f in FIELDS])
