@@ -8,8 +8,8 @@ Two inputs share the operators:
   ``<ul>`` lists as tables of cells.
 
 Everything works on one row at a time (array higher-order functions),
-so there is no shuffle and no Python. TEI files with nested
-divisions go through ``tei.py`` instead.
+so there is no shuffle and no Python. Well-nested TEI goes through
+``tei_columns.py``, broken TEI files through ``tei.py``.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from ..functions import markup as M
 from ..functions.text import clean_text, contains_any, strip_tags
 from ..functions.units import bound
 
@@ -106,9 +107,11 @@ def page_abstract(html: Column | str) -> Column:
 def page_sections(html: Column | str) -> Column:
     """The block children of <body> (<div>, <article>) in order, as
     ``struct(heading, paragraphs)``; heading = first h1-h6, else
-    'Unknown Section'."""
+    'Unknown Section'. A block runs to its own closing tag, so blocks nested
+    in it belong to it; one inside a navigation, a list or any other
+    container is no child of the body."""
     h = F.col(html) if isinstance(html, str) else html
-    blocks = F.regexp_extract_all(_body(h), F.lit(r"(?s)(<(?:div|article)[^>]*>.*?</(?:div|article)>)"), 1)
+    blocks = M.children(_body(M.readable(h)), ["div", "article"], M.HTML_CONTAINERS)
 
     def one(b: Column) -> Column:
         head = F.regexp_extract(b, r"(?s)<h[1-6][^>]*>(.*?)</h[1-6]>", 1)

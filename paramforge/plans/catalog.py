@@ -25,8 +25,9 @@ from ..operators import retrieval as R
 from ..operators import spans as SP
 from ..operators import stats as S
 from ..operators import structure as B
+from ..operators import tei_columns as TEI
 from ..operators import text_search as TS
-from ..sources.tables import prose, raw_extractions, read_table
+from ..sources.tables import prose, raw_extractions, read_table, tei_papers
 from .store import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -462,6 +463,32 @@ def q_rule_extract(spark, sf_dir):
         "material", "substrate", "deposition_method", "target", "base_pressure")
 
 
+@query("tei_heads")
+def q_tei_heads(spark, sf_dir):
+    """B3, B4, B9 on TEI text derived from the raw rows."""
+    p = TEI.structured_papers(tei_papers(raw_table(spark, sf_dir)))
+    return p.select("paper_id", "ok", "title", "abstract", F.size("sections").alias("n_sections"), F.size("tables").alias("n_tables"))
+
+
+@query("tei_sections")
+def q_tei_sections(spark, sf_dir):
+    """Direct child divisions, nested ones inside them."""
+    return TEI.section_rows(tei_papers(raw_table(spark, sf_dir)))
+
+
+@query("tei_cells")
+def q_tei_cells(spark, sf_dir):
+    """Captions and ragged rows of several cells."""
+    return TEI.cell_rows(tei_papers(raw_table(spark, sf_dir)))
+
+
+@query("tei_combined_text")
+def q_tei_combined_text(spark, sf_dir):
+    """B10 with a real abstract."""
+    p = TEI.structured_papers(tei_papers(raw_table(spark, sf_dir)))
+    return p.select("paper_id", X.combined_text(p).alias("combined_text"))
+
+
 @query("span_extract")
 def q_span_extract(spark, sf_dir):
     """All ten fields, each value by its nearest cue, from the raw rows told as text."""

@@ -670,6 +670,27 @@ tclean AS (SELECT paper_id, {nullsent('material')} AS material, {nullsent('subst
 SELECT paper_id, material, substrate, method, {arr_summary('base_pressure_pa', 'base_pressure_pa')}, {arr_summary('working_pressure_pa', 'working_pressure_pa')}
 FROM tclean WHERE {contains_any("coalesce(method, '')", K.METHOD_KEYWORDS)}""", base=False)
 
+# TEI papers: what TEI_SQL wrote is told from the raw rows, nothing is parsed
+TEI_RAW = f"WITH raw AS ({RAW_EXTRACTION_SQL.format(src='lineitem')})"
+TEI_TITLE = "concat('Films & layers of ', material)"
+TEI_ABSTRACT = "concat('Abstract: ', coalesce(trim(substrate), 'bare'), '.')"
+TEI_GROWTH = """concat('Sputtering at ', coalesce(power, 'some power'), ' . The chamber was at ', coalesce(working_pressure, 'low pressure'), '. Last of all, sputtering ° ended.')"""
+TEI_GAS = "concat('Sputtering with ', coalesce(gas_mixture, 'no gas'), '.')"
+reg("tei_heads", f"""{TEI_RAW}
+SELECT paper_id, true AS ok, {TEI_TITLE} AS title, {TEI_ABSTRACT} AS abstract, 2 AS n_sections,
+       CASE WHEN length(paper_id) % 3 = 0 THEN 2 ELSE 1 END AS n_tables FROM raw""", base=False)
+reg("tei_sections", f"""{TEI_RAW}
+SELECT paper_id, 0 AS section_idx, CASE WHEN length(paper_id) % 2 = 0 THEN 'Growth' ELSE concat('Inner ', material) END AS heading, {TEI_GROWTH} AS text FROM raw
+UNION ALL SELECT paper_id, 1, {lit(K.UNKNOWN_SECTION)}, {TEI_GAS} FROM raw""", base=False)
+reg("tei_cells", f"""{TEI_RAW}, two AS (SELECT * FROM raw WHERE length(paper_id) % 3 = 0)
+SELECT paper_id, 1 AS table_idx, 0 AS row_idx, 1 AS cell_idx, {lit(K.CAPTION_MARK)} AS cell FROM raw
+UNION ALL SELECT paper_id, 1, 0, 2, concat('Table of ', material) FROM raw
+UNION ALL SELECT paper_id, 1, 1, 1, 'Power' FROM raw UNION ALL SELECT paper_id, 1, 1, 2, coalesce(power, 'none') FROM raw
+UNION ALL SELECT paper_id, 1, 2, 1, 'Gas' FROM raw UNION ALL SELECT paper_id, 1, 2, 2, '' FROM raw UNION ALL SELECT paper_id, 1, 2, 3, coalesce(gas_mixture, '') FROM raw
+UNION ALL SELECT paper_id, 2, 1, 1, NULL FROM two UNION ALL SELECT paper_id, 2, 2, 1, coalesce(film_thickness, 'thin') FROM two""", base=False)
+reg("tei_combined_text", f"""{TEI_RAW}
+SELECT paper_id, concat({TEI_ABSTRACT}, chr(10), chr(10), {TEI_GROWTH}, chr(10), {TEI_GAS}, chr(10)) AS combined_text FROM raw""", base=False)
+
 
 # --- E: text search -----------------------------------------------------------
 

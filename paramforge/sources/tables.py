@@ -65,3 +65,27 @@ FROM {src} t
 def prose(raw: DataFrame) -> DataFrame:
     """(paper_id, combined_text) of every raw row."""
     return raw.sparkSession.sql(PROSE_SQL, src=raw)
+
+
+# The raw rows as TEI papers: divisions nested in divisions and in notes,
+# heads only in an inner division or nowhere, references inside text,
+# entities, and figures with ragged rows, some of them no tables. Valid in
+# Spark and in DuckDB; {src} is the raw table.
+TEI_SQL = """
+SELECT paper_id, concat('<?xml version="1.0" encoding="UTF-8"?><TEI xmlns="http://www.tei-c.org/ns/1.0"><teiHeader><fileDesc><titleStmt><title level="a" type="main">Films &amp; layers of <hi>',
+  material, '</hi> [1, 2]</title></titleStmt><sourceDesc><title>Not this one</title></sourceDesc></fileDesc><profileDesc><abstract><div><p>Abstract: ', coalesce(trim(substrate), 'bare'),
+  '.</p></div></abstract></profileDesc></teiHeader><text><body><!-- <div> --><div xmlns="http://www.tei-c.org/ns/1.0"><head n="1">Introduction</head><p>Nothing of interest.</p></div><div>',
+  CASE WHEN length(paper_id) % 2 = 0 THEN '<head n="2">Growth</head>' ELSE '' END, '<p>Sputtering at ', coalesce(power, 'some power'), ' <ref type="bibr">[3]</ref>.</p><div><head>Inner ', material,
+  '</head><p/><p>Not to keep.</p><div><p>The chamber was at ', coalesce(working_pressure, 'low pressure'), '.</p></div></div><p>Last  of all, sputtering &#176; ended.</p></div>',
+  '<note place="foot"><div><head>Stray</head><p>Sputtering in a note.</p></div></note><div/><div><formula xml:id="f">x</formula><p>Sputtering with ', coalesce(gas_mixture, 'no gas'), '.</p></div>',
+  '<figure xml:id="fig_0"><head>Figure</head><row><cell>no</cell></row></figure><figure xmlns="http://www.tei-c.org/ns/1.0" type="table" xml:id="tab_0"><head>Table of <hi>', material,
+  '</hi></head><table><row role="label"><cell>Power</cell><cell>', coalesce(power, 'none'), '</cell></row><row><cell>Gas</cell><cell/><cell cols="2">', coalesce(gas_mixture, ''), '</cell></row></table></figure>',
+  CASE WHEN length(paper_id) % 3 = 0 THEN concat('<figure type="table"><table><row></row><row><cell>', coalesce(film_thickness, 'thin'), '</cell></row></table></figure>') ELSE '' END,
+  '</body><back><div><p>Sputtering in the back.</p></div></back></text></TEI>') AS xml
+FROM {src} t
+"""
+
+
+def tei_papers(raw: DataFrame) -> DataFrame:
+    """(paper_id, xml) of every raw row."""
+    return raw.sparkSession.sql(TEI_SQL, src=raw)
