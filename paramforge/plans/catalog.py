@@ -485,7 +485,7 @@ def q_tei_cells(spark, sf_dir):
 @query("tei_combined_text")
 def q_tei_combined_text(spark, sf_dir):
     """B10 with a real abstract."""
-    p = TEI.structured_papers(tei_papers(raw_table(spark, sf_dir)))
+    p = TEI.structured_papers(tei_papers(raw_table(spark, sf_dir)), parts=("abstract", "sections"))
     return p.select("paper_id", X.combined_text(p).alias("combined_text"))
 
 
