@@ -1,5 +1,8 @@
 """B15 with positions: hand-made texts with expected fields."""
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
 from paramforge.operators import spans as SP
 
@@ -61,3 +64,26 @@ def test_repeated_rows_and_two_texts_of_one_id(spark):
     rows = [("p", "working pressure 1 Pa"), ("p", "working pressure 1 Pa"), ("p", "base pressure 2 Pa"), (None, "working pressure 3 Pa")]
     out = SP.extract_fields(spark.createDataFrame(rows, "paper_id string, combined_text string").selectExpr("*", "1 as span", "2 as start")).collect()
     assert sorted((r.paper_id or "", r.working_pressure, r.base_pressure) for r in out) == [("", "3 Pa", NS), ("p", "1 Pa", NS), ("p", "1 Pa", NS), ("p", NS, "2 Pa")]
+
+
+def test_texts_are_not_shuffled(spark):
+    df = spark.createDataFrame(list(TEXTS.items()), "paper_id string, combined_text string")
+    assert "Exchange" not in SP.extract_fields(df)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_nearest_cue_of_long_texts(spark):
+    """Against a plain scan: cues beyond many other spans, and long texts."""
+    rng = random.Random(3)
+    words = ["base pressure", "working pressure", "1 Pa", "2 mTorr", "films", "substrate", "ZnO", "TiN", "5 W", "argon", "x" * 30, "y", "target"]
+    texts = [(str(i), " ".join(rng.choice(words) for _ in range(n))) for i, n in enumerate([5, 20, 60, 400] * 5)]
+    df = spark.createDataFrame(texts, "paper_id string, combined_text string")
+    for reach in (1, 12, SP.REACH):
+        rows = df.select("paper_id", SP.found_in(F.col("combined_text")).alias("f")).select("*", SP.assigned(F.col("f"), reach).alias("a")).collect()
+        for r in rows:
+            want = []
+            for v in (x for x in r.f if x.cue is None):
+                cues = [(v.start - c.end, 0, c.cue) if c.start < v.start else (c.start - v.end, 1, c.cue) for c in r.f if c.cue and c.quantity == v.quantity]
+                best = min(cues, default=(1 << 30, 0, None))
+                hit = best[0] <= reach
+                want.append((v.start, v.span, best[2] if hit else SP.DEFAULT_FIELD[v.quantity], best[0] if hit else None))
+            assert [tuple(x) for x in r.a] == want
