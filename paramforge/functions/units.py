@@ -41,8 +41,13 @@ def _nonempty(arr: Column) -> Column:
 
 
 def split_values(text: Column | str, pattern: str = K.SPLIT_PATTERN) -> Column:
-    """Lower-case and split on comma or the word ``and`` (parts keep blanks)."""
-    return F.split(F.lower(_c(text)), pattern, -1)
+    """Lower-case and split on comma or the word ``and`` (parts keep blanks).
+    A text that holds no mark of the pattern is its own only part: the pattern,
+    which Spark compiles anew for each text, is not needed for it."""
+    marks = K.SPLIT_MARKS.get(pattern)
+    if marks is None:
+        return F.split(F.lower(_c(text)), pattern, -1)
+    return bound(F.lower(_c(text)), lambda t: F.when(~_any_contains(t, marks), F.array(t)).otherwise(F.split(t, pattern, -1)))
 
 
 #: Between the captures of a part; translated away in the part itself.
@@ -50,14 +55,14 @@ _MARK = "\u0001"
 
 
 def _strip_blanks(part: Column) -> Column:
-    return F.translate(part, _MARK + " ", "\u0002")
+    return F.replace(F.replace(part, F.lit(" "), F.lit("")), F.lit(_MARK), F.lit("\u0002"))
 
 
 def _captures(part: Column, pattern: str, groups: int) -> Column:
     """The groups of the first match as an array, by one run of the regex;
     without a match the array has one element."""
     marked = _MARK.join(f"${g}" for g in range(1, groups + 1))
-    return F.split(F.regexp_replace(part, r"^[\s\S]*?" + pattern + r"[\s\S]*$", marked), _MARK, -1)
+    return F.split(F.regexp_replace(part, r"(?s)^.*?" + pattern + ".*$", marked), _MARK, -1)
 
 
 def _standardise(text: Column | str, pattern: str, *steps) -> Column:

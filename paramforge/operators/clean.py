@@ -1,12 +1,14 @@
 """Standardisation and cleaning operators.
 
 All operators are ``DataFrame -> DataFrame``; all are map-only except the
-dedup (one partially aggregated ``groupBy``) and the report (one global
+dedup (a count per id and one partially aggregated ``groupBy``) and the report (one global
 aggregate).
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +21,7 @@ MEASUREMENTS = ["power_w", "working_pressure_pa", "base_pressure_pa", "temperatu
 EXPLODED = ["power_w", "working_pressure_pa", "temperature_c", "thickness_nm"]
 # C11: a row is dropped when all three are null (temperature not considered).
 DROP_ALL_NULL = ["power_w", "working_pressure_pa", "thickness_nm"]
+MAX_REPEATED_KEYS = 100_000  # repeated ids broadcast by the dedup
 
 
 def null_sentinel(col: str) -> Column:
@@ -177,13 +180,32 @@ def collection_rows(papers: DataFrame) -> DataFrame:
     )
 
 
-def collection_dedup(items: DataFrame, key: str = "paper_id", order: list[str] | None = None) -> DataFrame:
+def collection_dedup(items: DataFrame, key: str = "paper_id", order: list[str] | None = None,
+                     build: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """One item per id; among duplicates the smallest by ``order``
-    (default: the document text, then the metadata) is kept.
-
-    A ``groupBy`` with ``min(struct)`` is partially aggregated map-side, so
-    a hot id never lands whole in one task (a window would sort it there).
+    (default: the document text, then the metadata) is kept. With ``build``,
+    which makes an item of each row or drops it, the rows are told apart
+    before they are built.
+
+    Ids are counted first, without the documents. Items whose id comes once
+    are passed on as they are; only those of repeated ids are compared, by a
+    ``groupBy`` with ``min(struct)``. It is partially aggregated map-side, so
+    a hot id never lands whole in one task (a window would sort it there), but
+    Spark sorts the rows it reads: where more than ``MAX_REPEATED_KEYS`` ids
+    are repeated, all items take this way.
     """
-    order = order or [c for c in items.columns if c != key]
-    picked = items.groupBy(key).agg(F.min(F.struct(*[F.col(c) for c in order])).alias("_first"))
-    return picked.select(F.col(key), *[F.col(f"_first.{c}").alias(c) for c in order])
+    build = build or (lambda df: df)
+    made = build(items)
+    order = order or [c for c in made.columns if c != key]
+
+    def smallest(df: DataFrame) -> DataFrame:
+        picked = df.groupBy(key).agg(F.min(F.struct(*[F.col(c) for c in order])).alias("_first"))
+        return picked.select(F.col(key), *[F.col(f"_first.{c}").alias(c) for c in order])
+
+    counts = made.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_n"))
+    repeated = counts.where(F.col("_n") > 1).select("_key").checkpoint()
+    if repeated.count() > MAX_REPEATED_KEYS:
+        return smallest(made)
+    same = F.col(key).eqNullSafe(F.col("_key"))
+    once = build(items.join(F.broadcast(repeated), same, "left_anti")).select(key, *order)
+    return once.unionByName(smallest(build(items.join(F.broadcast(repeated), same, "left_semi"))))

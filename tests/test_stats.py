@@ -102,3 +102,15 @@ def test_number_text_keeps_small_values(spark):
     df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "i int, x double")
     got = [r.t for r in df.select("i", number_text(F.col("x")).alias("t")).orderBy("i").collect()]
     assert got == ["200.0", "0.133322", "1.33322e-07", "1e-10", "0.0", "-25.5", "0.0001", "123456.789", "2e+15"]
+
+
+def test_collection_dedup_of_single_ids_sorts_no_document(spark, monkeypatch):
+    rows = [("a", "d2"), ("a", "d1"), (None, "n2"), (None, "n1"), ("b", "x"), ("c", "y")]
+    items = spark.createDataFrame(rows, "paper_id string, document string")
+    built = lambda df: df.select("paper_id", F.upper("document").alias("document"))
+    want = {("a", "D1"), (None, "N1"), ("b", "X"), ("c", "Y")}
+    few = C.collection_dedup(items, build=built)
+    assert set(map(tuple, few.collect())) == want and few.count() == 4
+    assert "LeftAnti" in few._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(C, "MAX_REPEATED_KEYS", 1)
+    assert set(map(tuple, C.collection_dedup(items, build=built).collect())) == want
