@@ -1,5 +1,6 @@
 """B15 with positions: hand-made texts with expected fields."""
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -87,3 +88,20 @@ def test_nearest_cue_of_long_texts(spark):
                 hit = best[0] <= reach
                 want.append((v.start, v.span, best[2] if hit else SP.DEFAULT_FIELD[v.quantity], best[0] if hit else None))
             assert [tuple(x) for x in r.a] == want
+
+
+def test_boundary_is_looked_for_once(spark):
+    """No branch looks for its own word boundary, and the spans are those of
+    the patterns tested in their order at every place."""
+    assert not re.search(r"[(|](?:\?-i:)?\\b", SP.GROUPS.removeprefix(r"(?i)\b"))
+    rng = random.Random(11)
+    words = ["-196 °C", "5-10 K", "a-3 K", "1e-4 Pa", "5", "-", "rt", "art", "RF magnetron sputtering", "pulsed dc sputter", "rf", "1.5x10^-3 Torr", "2.5 kW", "Base Pressure", "base vacuums",
+             "room temperatures", "TiO2:Nb", "ZnO/Al", "zno", "O2", "12Å", "3 μm", "°", "ito glass", "soda-lime glass", "films.", "filmsX", "_film", "éfilm", "x", ","]
+    texts = ["".join(rng.choice(words) + rng.choice(["", " ", " ", "-"]) for _ in range(rng.randint(1, 30))) for _ in range(400)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in df.select("t", SP.found_in(F.col("t")).alias("f"), F.regexp_extract_all("t", F.lit(SP.ANY), F.lit(1)).alias("plain")).collect():
+        assert [s.span for s in r.f] == r.plain
+        for s in r.f:
+            assert r.t[s.start : s.end] == s.span
+            first = next(p for p in SP.PATTERNS if re.fullmatch(p[2].replace("(?-i:", "(?:") if p[1] or p[0] != "substance" else r"(?s).*", s.span, re.I))
+            assert (s.quantity, s.cue or "") == first[:2]
